@@ -9,6 +9,7 @@ from folia.llm.exact_dedup import exact_dedup
 from folia.llm.mixing import mix_sources
 from folia.llm.sentence_dedup import sentence_span_dedup
 from folia.llm.sharding import interleave_shards
+from folia.llm.simhash import simhash_groups
 from folia.llm.suffix_dedup import repeated_strings
 
 
@@ -29,6 +30,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_strings(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"), words=3)
+
+
 def op9_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_span_dedup(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_exact_dedup, op7_suffix_dedup, op9_sentence_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op5_exact_dedup, op7_suffix_dedup, op8_simhash, op9_sentence_dedup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
