@@ -41,6 +41,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def maybe_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has no more than so many (narrow) rows, else df: then an ordinary join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, out of the way of any other name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def odd_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether any id is repeated or null."""
+    return df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").limit(1).count() > 0
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

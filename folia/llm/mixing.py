@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.llm.common import SEED, materialize, order_key, with_word_counts
+from folia.llm.common import SEED, materialize, maybe_broadcast, order_key, whole_row, with_word_counts
 
 #: Hex digits of the order key that name a slice of a source: 16 ** 3 slices.
 SLICE_DIGITS = 3
@@ -31,6 +31,41 @@ def water_fill(sources: DataFrame, budget_share: float, max_epochs: float, weigh
     return rows.select("source", "total", "weight", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, carry: bool) -> DataFrame:
+    """id, source, size, key and slice of every row, and the row itself if it is carried."""
+    more = [whole_row(df).alias("row")] if carry else []
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), *more)
+    sized = with_word_counts(rows, "text", "size", ["id", "source", *["row"] * carry]).withColumn("key", order_key(seed, F.col("id")))
+    return sized.withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+
+
+def _quotas(sized: DataFrame, budget_share: float, max_epochs: float, weights: tuple[float, ...]) -> DataFrame:
+    """Of each source: total, target, whole epochs, the slice in which the rest runs out (edge), and what is left of it there."""
+    slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("s"))
+    targets = water_fill(slices.groupBy("source").agg(F.sum("s").alias("total")), budget_share, max_epochs, list(weights))
+    epochs = F.when(F.col("total") > 0, F.floor(F.floor("target") / F.col("total"))).otherwise(F.lit(0))
+    targets = targets.withColumn("epochs", epochs).withColumn("rest", F.floor("target") - F.col("epochs") * F.col("total"))
+    before = F.sum("s").over(Window.partitionBy("source").orderBy("slice")) - F.col("s")
+    slices = slices.withColumn("before", before).withColumnRenamed("source", "s_source")
+    edge = targets.join(slices, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("rest") >= F.col("before")) & (F.col("rest") < F.col("before") + F.col("s")), "left")
+    edge = edge.select(F.col("source").alias("t_source"), "total", "target", "epochs", F.col("slice").alias("edge"), (F.col("rest") - F.col("before")).alias("left"))
+    return maybe_broadcast(materialize(edge, "quotas"))
+
+
+def _taken(sized: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Adds source_size, target and taken."""
+    joined = sized.join(quotas, F.col("source").eqNullSafe(F.col("t_source")))
+    in_edge = F.coalesce(F.col("slice") == F.col("edge"), F.lit(False))
+    run = F.sum("size").over(Window.partitionBy("source", "slice").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
+
+    def result(rows: DataFrame, extra: Column) -> DataFrame:
+        return rows.select(*sized.columns, F.col("total").alias("source_size"), "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+
+    outside = result(joined.filter(~in_edge), F.when(F.col("slice") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
+    inside = joined.filter(in_edge).withColumn("run", run)
+    return outside.unionByName(result(inside, F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("run") + F.col("size")))))
+
+
 def mix_sources(
     df: DataFrame, *, budget_share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED
 ) -> DataFrame:
@@ -49,24 +84,24 @@ def mix_sources(
     count one by one. All sizes 0, or an empty table: targets 0, taken 0, or no rows. Other
     columns are ignored, whatever their names.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    sized = with_word_counts(rows, "text", "size", ["id", "source"]).withColumn("key", order_key(seed, F.col("id"))).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
-    sized = materialize(sized, "sizes")
-    slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("s"))
-    targets = water_fill(slices.groupBy("source").agg(F.sum("s").alias("total")), budget_share, max_epochs, list(weights))
-    epochs = F.when(F.col("total") > 0, F.floor(F.floor("target") / F.col("total"))).otherwise(F.lit(0))
-    targets = targets.withColumn("epochs", epochs).withColumn("rest", F.floor("target") - F.col("epochs") * F.col("total"))
-    before = F.sum("s").over(Window.partitionBy("source").orderBy("slice")) - F.col("s")
-    slices = slices.withColumn("before", before).withColumnRenamed("source", "s_source")
-    # Of each source: the slice in which the rest runs out, and what is left of the rest there.
-    edge = targets.join(slices, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("rest") >= F.col("before")) & (F.col("rest") < F.col("before") + F.col("s")), "left")
-    edge = edge.select(F.col("source").alias("t_source"), "total", "target", "epochs", "rest", F.col("slice").alias("edge"), (F.col("rest") - F.col("before")).alias("left"))
-    joined = sized.join(edge, F.col("source").eqNullSafe(F.col("t_source")))
-    in_edge = F.col("slice") == F.col("edge")
-    run = F.sum("size").over(Window.partitionBy("source", "slice").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    cols = ["id", "source", "key", "size", "total", "target", "epochs"]
-    outside = joined.filter(~F.coalesce(in_edge, F.lit(False))).select(*cols, F.when(F.col("slice") < F.col("edge"), F.col("size")).otherwise(F.lit(0)).alias("extra"))
-    inside = joined.filter(in_edge).withColumn("run", run).select(*cols, F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("run") + F.col("size"))).alias("extra"))
-    return outside.unionByName(inside).select(
-        F.col("id").alias(id_col), "source", "key", "size", F.col("total").alias("source_size"), "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken")
-    )
+    sized = materialize(_sized(df, id_col, text_col, source_col, seed, False), "sizes")
+    rows = _taken(sized, _quotas(sized, budget_share, max_epochs, weights))
+    return rows.select(F.col("id").alias(id_col), "source", "key", "size", "source_size", "target", "taken")
+
+
+def mixed_rows(
+    df: DataFrame, *, budget_share: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED
+) -> DataFrame:
+    """The mix itself: every row of df as often as mix_sources takes it, with its columns.
+
+    A row taken in part has the first words of its text, one space between them. Rows without
+    words are not in the mix.
+    """
+    sized = materialize(_sized(df, id_col, text_col, source_col, seed, False), "sizes")
+    rows = _taken(_sized(df, id_col, text_col, source_col, seed, True), _quotas(sized, budget_share, max_epochs, weights)).filter("taken > 0")
+    rows = rows.withColumn("copy", F.explode(F.expr("sequence(1L, (taken + size - 1) div size)")))
+    text = F.col(f"row.`{text_col}`")
+    words = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    first = F.array_join(F.slice(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), words.cast("int")), " ")
+    text = F.when(words >= F.col("size"), text).otherwise(first)
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.llm.common import SEED, materialize, order_key, unit
+from folia.llm.common import SEED, materialize, maybe_broadcast, order_key, unit
 
 #: Rows that one window group holds at most on average; more rows make more groups.
 GROUP_ROWS = 20_000
@@ -36,6 +36,7 @@ def interleave_shards(
         order_key(seed, F.col(id_col)).alias("key"),
     )
     totals = df.groupBy(F.col(source_col).alias("of_source")).agg(F.count(F.lit(1)).alias("n"))
+    totals = maybe_broadcast(totals)
     total = totals.agg(F.sum("n")).first()[0] or 0
 
     def spread(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import SEED, materialize, row_slices, shuffle_partitions
+from folia.llm.common import SEED, materialize, odd_ids, row_slices, shuffle_partitions, whole_row
 
 #: Segments of a fingerprint: the embedding has as many dimensions, each with a count from 0 to BITS // SEGMENTS.
 BITS, SEGMENTS = 64, 32
@@ -234,3 +234,18 @@ def simhash_groups(df: DataFrame, *, words: int = 5, radius: int = 3, id_col: st
     named = named.join(groups, "root").select(F.col("print").alias("of"), "component_id")
     out = rows.join(named, F.col("print") == F.col("of"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df of which each is the one with the smallest id in its group, unchanged.
+
+    Of rows with one id, or of a group without ids, one stays. Columns are passed on whatever
+    their names. Options as in simhash_groups.
+    """
+    if odd_ids(df, id_col):
+        rows = df.orderBy(F.col(id_col).asc_nulls_last()).select(F.monotonically_increasing_id().alias("id"), F.col(text_col).alias("text"), whole_row(df).alias("row"))
+        rows = materialize(rows, "rows")
+    else:
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), whole_row(df).alias("row"))
+    groups = simhash_groups(rows.select("id", "text"), id_col="id", text_col="text", **options)
+    return rows.join(groups.filter("id = component_id").select("id"), "id", "left_semi").select("row.*")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import materialize, shuffle_partitions
+from folia.llm.common import materialize, odd_ids, shuffle_partitions
 
 PLACE = np.dtype([("h", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("to", "<u4")])
 SPAN = np.dtype([("doc", "<i8"), ("at", "<u4"), ("to", "<u4")])
@@ -32,8 +32,7 @@ def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     (null last) and text, numbered, and written once: each row is then a document of its own.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    odd = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null")
-    if odd.limit(1).count() == 0:
+    if not odd_ids(rows, "id"):
         return rows.select(F.col("id").alias("doc"), "id", "text")
     rows = rows.orderBy(F.col("id").asc_nulls_last(), F.xxhash64("text"), "text").withColumn("doc", F.monotonically_increasing_id())
     return materialize(rows.select("doc", "id", "text"), "numbered")
