@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folia.llm.common import row_slices
-from folia.llm.spans import PLACE, ROUTED, SPAN, SPANS, blobs, bucket_count, buffered, by_bucket, by_doc, join_spans, mixed, numbered, settle, spans_of, union_of
+from folia.llm.spans import PLACE, ROUTED, SPAN, blobs, bucket_count, buffered, by_bucket, joined, mixed, numbered, per_doc, settle, spans_of, to_docs, union_of
 
 #: A run is at least so many sentences, and goes on until it also has so many words.
 SENTENCES = 3
@@ -100,8 +100,7 @@ def sentence_span_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str
             spans.append(blobs(b.column("spans"), SPAN))
         if held:
             spans.append(spans_of(settle(np.concatenate(held))[1]))
-            d, s = by_doc(np.concatenate(spans))
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.binary())], names=["doc", "spans"])
+            yield to_docs(joined(np.concatenate(spans)), buckets, "spans")
 
     def apply(batches):
         for whole in batches:
@@ -115,13 +114,13 @@ def sentence_span_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str
                         texts.append(data if text.is_valid else None)
                         gone.append(0)
                         continue
-                    at, to = union_of(np.frombuffer(b"".join(spans), SPAN))
+                    at, to = union_of(np.frombuffer(spans, SPAN))
                     edges = [0, *[x for a, z in zip(at, to, strict=True) for x in (bounds[a], bounds[z])], len(data)]
                     texts.append(b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
                     gone.append(int((to - at).sum()))
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["id", "text", "n_sentences", "n_removed"])
 
     routed = docs.select("doc", "text").mapInArrow(places, ROUTED)
-    spans = by_bucket(routed).mapInArrow(repeats, SPANS)
-    out = join_spans(docs, spans).select("id", "text", "spans").mapInArrow(apply, "id long, text string, n_sentences long, n_removed long")
+    packed = by_bucket(routed).mapInArrow(repeats, "bucket int, spans binary")
+    out = docs.join(per_doc(packed, "spans", SPAN, joined), "doc", "left").select("id", "text", "spans").mapInArrow(apply, "id long, text string, n_sentences long, n_removed long")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_sentences", "n_removed")

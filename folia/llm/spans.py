@@ -22,7 +22,6 @@ SPAN = np.dtype([("doc", "<i8"), ("at", "<u4"), ("to", "<u4")])
 #: Records that a mapper gathers before it settles and routes them.
 BUFFER = 1 << 20
 ROUTED = "bucket int, places binary, spans binary"
-SPANS = "doc long, spans binary"
 
 
 def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,16 +108,44 @@ def blobs(column: pa.Array, dtype: np.dtype) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype), *[np.frombuffer(x.as_buffer(), dtype) for x in column if x.is_valid and len(x.as_buffer())]])
 
 
-def by_doc(spans: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Spans cut by document."""
-    spans = spans[np.argsort(spans["doc"], kind="stable")]
-    starts = np.flatnonzero(np.r_[True, spans["doc"][1:] != spans["doc"][:-1]]) if len(spans) else np.zeros(0, int)
-    return [int(x) for x in spans["doc"][starts]], [x.tobytes() for x in np.split(spans, starts[1:])] if len(spans) else []
+def joined(spans: np.ndarray) -> np.ndarray:
+    """The same cover by maximal runs, in order of document and place; touching spans make one run."""
+    s = spans[np.lexsort((spans["at"], spans["doc"]))]
+    if not len(s):
+        return s
+    rank = np.cumsum(np.r_[0, s["doc"][1:] != s["doc"][:-1]]) << 33
+    reach = np.maximum.accumulate(rank + s["to"])
+    fresh = np.flatnonzero(np.r_[True, rank[1:] + s["at"][1:] > reach[:-1]])
+    out = s[fresh].copy()
+    out["to"] = (reach[np.r_[fresh[1:] - 1, len(s) - 1]]) & ((1 << 33) - 1)
+    return out
+
+
+def to_docs(records: np.ndarray, buckets: int, column: str) -> pa.RecordBatch:
+    """Records with a field doc, packed by bucket of documents."""
+    of = (mixed(records["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    records, at = records[order], np.searchsorted(of[order], np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(at))
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([records[at[k] : at[k + 1]].tobytes() for k in used], pa.binary())], names=["bucket", column])
+
+
+def per_doc(packed: DataFrame, column: str, dtype: np.dtype, prepare=None) -> DataFrame:
+    """One row (doc, records) for each document, from the rows of to_docs; prepare may thin out or sort all records of a task."""
 
+    def gather(batches):
+        held = [blobs(b.column(column), dtype) for b in batches]
+        if not held:
+            return
+        r = np.concatenate(held)
+        r = prepare(r) if prepare else r[np.argsort(r["doc"], kind="stable")]
+        cut = np.flatnonzero(np.r_[True, r["doc"][1:] != r["doc"][:-1]]) if len(r) else np.zeros(0, int)
+        for k in range(0, len(cut), 10_000):
+            ends = np.r_[cut, len(r)][k : k + 10_001]
+            packed_rows = [r[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(r["doc"][ends[:-1]]), pa.array(packed_rows, pa.binary())], names=["doc", column])
 
-def join_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each document with all its spans, as an array of packed records; null where it has none."""
-    return docs.join(spans.groupBy("doc").agg(F.collect_list("spans").alias("spans")), "doc", "left")
+    return by_bucket(packed.select("bucket", column)).mapInArrow(gather, f"doc long, {column} binary")
 
 
 def union_of(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

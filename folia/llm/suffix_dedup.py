@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folia.llm.bwt import merge_shards
 from folia.llm.common import bytes_of, materialize, row_slices
-from folia.llm.spans import PLACE, ROUTED, SPAN, blobs, bucket_count, buffered, by_bucket, by_doc, join_spans, mixed, numbered, settle, spans_of, union_of
+from folia.llm.spans import PLACE, ROUTED, SPAN, blobs, bucket_count, buffered, by_bucket, joined, mixed, numbered, per_doc, settle, spans_of, to_docs, union_of
 
 #: Bytes of the k-grams that anchor strings; at most the string length.
 GRAM = 32
@@ -23,7 +23,7 @@ MERGED, SHARDS = 1 << 21, 4
 PIECE = 1 << 20
 _M = 0x9FB21C651E98DF25
 #: A context to be fetched: windows of the strings that start in [at, at + n), under anchor h.
-ASK = np.dtype([("h", "<u8"), ("at", "<u4"), ("n", "<u4"), ("hot", "<u4")])
+ASK = np.dtype([("doc", "<i8"), ("h", "<u8"), ("at", "<u4"), ("n", "<u4"), ("hot", "<u4")])
 CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
 _OFF = 16  # `check` keeps the anchor's place in its top bits
 
@@ -172,18 +172,6 @@ def merged_repeats(contexts: np.ndarray, texts: list[bytes], length: int) -> np.
     return np.concatenate(found) if found else np.zeros(0, SPAN)
 
 
-def joined(spans: np.ndarray) -> np.ndarray:
-    """The same cover with overlapping spans of a document made one."""
-    s = spans[np.lexsort((spans["at"], spans["doc"]))]
-    if not len(s):
-        return s
-    # spans of one length: in order of start they are in order of end
-    fresh = np.flatnonzero(np.r_[True, (s["doc"][1:] != s["doc"][:-1]) | (s["at"][1:] > s["to"][:-1])])
-    out = s[fresh].copy()
-    out["to"] = s["to"][np.r_[fresh[1:] - 1, len(s) - 1]]
-    return out
-
-
 def repeated_strings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Remove every byte covered by a `length`-byte string that also starts earlier.
 
@@ -225,14 +213,11 @@ def repeated_strings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         under = np.repeat(under, under)
         first, under = first[under > 1], under[under > 1]
         asks = np.empty(len(first), ASK)
-        asks["h"], asks["at"], asks["n"], asks["hot"] = first["h"], first["at"], first["to"] - first["at"] - (length - 1), under > hot
-        d, s = by_doc(np.concatenate(spans))
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.binary()), pa.nulls(len(d), pa.binary())], names=["doc", "spans", "asks"])
-        order = np.argsort(first["doc"], kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(first["doc"][order]) != 0]) if len(order) else np.zeros(0, int)
-        of = [int(x) for x in first["doc"][order][cut]]
-        wanted = [x.tobytes() for x in np.split(asks[order], cut[1:])] if len(order) else []
-        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.nulls(len(of), pa.binary()), pa.array(wanted, pa.binary())], names=["doc", "spans", "asks"])
+        asks["doc"], asks["h"], asks["at"], asks["n"], asks["hot"] = first["doc"], first["h"], first["at"], first["to"] - first["at"] - (length - 1), under > hot
+        for column, records in (("spans", joined(np.concatenate(spans))), ("asks", asks)):
+            out = to_docs(records, buckets, column)
+            none = pa.nulls(out.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([out.column("bucket"), *[out.column(column) if c == column else none for c in ("spans", "asks")]], names=["bucket", "spans", "asks"])
 
     def fetch(batches):
         """Rows of contexts to merge (their bytes beside them) and of places of hot anchors' strings."""
@@ -260,7 +245,7 @@ def repeated_strings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             for doc, text, asked in zip(b.column("doc").to_pylist(), b.column("text"), b.column("asks").to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
-                asks = np.frombuffer(b"".join(x for x in asked if x), ASK)
+                asks = np.frombuffer(asked, ASK)
                 cold = asks[asks["hot"] == 0]
                 c = np.empty(len(cold), CONTEXT)
                 c["h"], c["doc"], c["at"], c["n"] = cold["h"], doc, cold["at"], cold["n"]
@@ -293,8 +278,7 @@ def repeated_strings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             order = np.argsort(contexts["h"], kind="stable")
             spans.append(merged_repeats(contexts[order], [texts[i] for i in order], length))
         if spans:
-            d, s = by_doc(joined(np.concatenate(spans)))
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.binary())], names=["doc", "spans"])
+            yield to_docs(joined(np.concatenate(spans)), buckets, "spans")
 
     def apply(batches):
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
@@ -305,17 +289,17 @@ def repeated_strings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     data = text.as_buffer().to_pybytes() if text.is_valid else b""
                     kept, gone, runs = data, 0, 0
                     if spans:
-                        at, to = union_of(np.frombuffer(b"".join(spans), SPAN))
+                        at, to = union_of(np.frombuffer(spans, SPAN))
                         edges = [0, *np.stack([at, to], 1).ravel().tolist(), len(data)]
                         kept, gone, runs = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)), int((to - at).sum()), len(at)
                     rows.append((id_, len(data), gone, runs, kept, hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=names)
 
-    first = by_bucket(docs.select("doc", "text").mapInArrow(places, ROUTED)).mapInArrow(settled, "doc long, spans binary, asks binary")
+    first = by_bucket(docs.select("doc", "text").mapInArrow(places, ROUTED)).mapInArrow(settled, "bucket int, spans binary, asks binary")
     first = materialize(first, "repeats")
-    asked = first.filter("asks is not null").groupBy("doc").agg(F.collect_list("asks").alias("asks"))
+    asked = per_doc(first.filter("asks is not null"), "asks", ASK)
     fetched = docs.join(asked, "doc").select("doc", "text", "asks").mapInArrow(fetch, ROUTED + ", contexts binary, bodies binary")
-    second = by_bucket(fetched).mapInArrow(merged, "doc long, spans binary")
-    spans = first.filter("spans is not null").select("doc", "spans").unionByName(second)
-    out = join_spans(docs, spans).select("id", "text", "spans").mapInArrow(apply, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    second = by_bucket(fetched).mapInArrow(merged, "bucket int, spans binary")
+    spans = per_doc(first.filter("spans is not null").select("bucket", "spans").unionByName(second), "spans", SPAN, joined)
+    out = docs.join(spans, "doc", "left").select("id", "text", "spans").mapInArrow(apply, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
