@@ -133,7 +133,9 @@ class ArchiveReader(DataSourceReader):
                 time.sleep(0.1 * 2**attempt)
         raise OSError("no attempts")
 
-    def read(self, partition: ByteRange):
+    def read(self, partition: ByteRange | None):
+        if partition is None:  # no archives at all
+            return
         fs, path = filesystem(partition.archive)
         with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
             infos = sorted((i for i in z.infolist() if partition.start <= i.header_offset < partition.end), key=lambda i: i.header_offset)
