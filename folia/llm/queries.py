@@ -9,6 +9,7 @@ from folia.llm.exact_dedup import exact_dedup
 from folia.llm.line_dedup import dedup_page_lines
 from folia.llm.media import media_features
 from folia.llm.mixing import mix_sources
+from folia.llm.oracles import ORACLE_SQL
 from folia.llm.packing import pack_documents
 from folia.llm.quality import fit_selection
 from folia.llm.sentence_dedup import sentence_span_dedup
@@ -63,9 +64,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (op1_sharding, op2_quality, op3_line_dedup, op4_packing, op5_exact_dedup, op6_media, op7_suffix_dedup, op8_simhash, op9_sentence_dedup, op10_mixing)
 }
-
-ORACLE_SQL: dict[str, str] = {}
