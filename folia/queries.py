@@ -23,7 +23,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """One engine for each session and directory; the node tree and what it derives are kept, as a stored library would be."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _engines:
-        library = star_library(spark, sf_dir)
+        library = star_library(spark, sf_dir, keep=True)
         library.persist("item_node", "mml_item", "item_constructor_ref", "nodes", "closure", "view_items")
         _engines[key] = Engine(spark, library)
     return _engines[key]
@@ -253,8 +253,8 @@ _PAGES: dict[str, tuple[str, PageRequest, tuple[str, ...], str]] = {
         "SELECT cast(row_number() OVER (ORDER BY article_name, lib_id, item_id) as int) AS position, item_id, lib_id, article_name FROM vt QUALIFY position BETWEEN 51 AND 75"),
     "page_sorted": ("list of statement", PageRequest(size=40, sort_by="text_content", direction="desc"), _PAGE,
         "SELECT cast(row_number() OVER (ORDER BY text_content DESC, article_name, lib_id, item_id) as int) AS position, item_id, lib_id, article_name FROM vs QUALIFY position <= 40"),
-    "page_filtered": ("list of statement", PageRequest(size=500, filter="nation_1*:th"), _PAGE,
-        "SELECT cast(row_number() OVER (ORDER BY article_name, lib_id, item_id) as int) AS position, item_id, lib_id, article_name FROM vs WHERE article_name LIKE 'NATION_1%:th' OR lower(lib_id) LIKE '%nation_1%:th%' QUALIFY position <= 500"),
+    "page_filtered": ("list of statement", PageRequest(size=500, filter="l1_*:th"), _PAGE,
+        "SELECT cast(row_number() OVER (ORDER BY article_name, lib_id, item_id) as int) AS position, item_id, lib_id, article_name FROM vs WHERE lower(lib_id) LIKE '%l1_%:th%' QUALIFY position <= 500"),
     "page_pipeline": ("list of theorem | filter('article=NATION_1')", PageRequest(size=30, sort_by="lib_id", filter="l1"), _PAGE,
         "SELECT cast(row_number() OVER (ORDER BY lower(lib_id), item_id) as int) AS position, item_id, lib_id, article_name FROM vt WHERE article_name = 'NATION_1' AND contains(lower(lib_id), 'l1') QUALIFY position <= 30"),
     "page_reverse": ("list of theorem | reverse", PageRequest(size=20), _PAGE,

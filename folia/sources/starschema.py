@@ -95,12 +95,14 @@ SQL = {
 }
 
 
-def star_library(spark: SparkSession, directory: str) -> Library:
-    """The library over the Parquet tables of a directory, lazily."""
+def star_library(spark: SparkSession, directory: str, *, keep: bool = False) -> Library:
+    """The library over the Parquet tables of a directory, lazily. keep: numbered lines, which most node rows come from, are persisted."""
     frames: dict[str, DataFrame] = {t: spark.read.parquet(f"{directory}/{t}.parquet") for t in INPUTS}
     for name, text in SQL.items():
         used = {n: frames[n] for n in frames if "{" + n + "}" in text}
         frames[name] = spark.sql(text, **used)
+        if keep and name == "lines":
+            frames[name] = frames[name].persist()
     flat = frames.pop("flat_node")
     pairs = [x for a in ATTRIBUTES for x in (F.lit(a), F.col(f"a_{a}"))]
     attrs = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
