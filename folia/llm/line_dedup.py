@@ -77,9 +77,13 @@ def drop_site_lines(df: DataFrame, host: Column, lines: Column, *, ratio: float,
 
 
 def dedup_page_lines(pages: DataFrame, *, ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
-    """page_id, host, text without site lines, n_lines, n_dropped of every page (page_id, url, html)."""
-    cleaned = drop_site_lines(pages.select("page_id", "url", "html"), url_host(F.col("url")), html_lines(F.col("html")), ratio=ratio, min_pages=min_pages)
-    return cleaned.select("row.page_id", url_host(F.col("row.url")).alias("host"), F.array_join("kept_lines", "\n").alias("text"), "n_lines", "n_dropped")
+    """page_id, host, text without site lines, n_lines, n_dropped of every page (page_id, url, html).
+
+    Pages are taken apart once; counting and dropping both read the lines from the shared folder.
+    """
+    parsed = materialize(pages.select("page_id", url_host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("lines")), "lines")
+    cleaned = drop_site_lines(parsed, F.col("host"), F.col("lines"), ratio=ratio, min_pages=min_pages)
+    return cleaned.select("row.page_id", "row.host", F.array_join("kept_lines", "\n").alias("text"), "n_lines", "n_dropped")
 
 
 def dedup_document_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
