@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folia.engine import Engine
 from folia.plans.paging import PageRequest
+from folia.sources.pages import page_library
 from folia.sources.starschema import duck_ctes, star_library
 
 ITEM = ("item_id", "lib_id", "article_name", "kind", "subkind", "node_type", "text_content")
@@ -286,8 +287,14 @@ def _page(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir).page(query, request).frame.select(*columns)
 
 
+def pages_where_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages whose articles have a bold line in a paragraph, by the same language; trees of HTML are beyond SQL."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return Engine(spark, page_library(pages)).query("list of statement where item has \"Article/P/B\" and item has not A[href='/the']").select(*ITEM)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _run(n) for n in _QUERIES} | {f"view_{n}": _view(n) for n in _VIEWS} | {n: _page(n) for n in _PAGES}
+    return {n: _run(n) for n in _QUERIES} | {f"view_{n}": _view(n) for n in _VIEWS} | {n: _page(n) for n in _PAGES} | {"pages_where_path": pages_where_path}
 
 
 def oracle_sql() -> dict[str, str]:
