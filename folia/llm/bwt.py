@@ -66,13 +66,17 @@ def merge_shards(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tup
     sizes = np.array([len(p[0]) for p in parts])
     of_shard = np.repeat(np.arange(len(parts), dtype=np.uint8), sizes)
     at = np.argsort(lead, kind="stable")  # merges lists that are in order; a shard's rotations keep theirs
-    interleave, block = of_shard[at], np.cumsum(np.r_[0, lead[at][1:] != lead[at][:-1]])
+    interleave, block = of_shard[at], np.cumsum(np.r_[0, lead[at][1:] != lead[at][:-1]], dtype=np.int32)
+    place = np.arange(len(at), dtype=np.int32)
     del lead
     for _ in range(LEAD, depth, 2):
         symbol = pair[at]
         order = np.argsort(symbol, kind="stable")
         symbol, block, interleave = symbol[order], block[order], interleave[order]
-        block = np.cumsum(np.r_[0, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])])
-        at = np.empty(len(order), np.int64)
-        at[np.argsort(interleave, kind="stable")] = np.arange(len(order))
+        fresh = np.zeros(len(order), bool)
+        np.not_equal(symbol[1:], symbol[:-1], out=fresh[1:])
+        fresh[1:] |= block[1:] != block[:-1]
+        block = np.cumsum(fresh, dtype=np.int32)
+        at = np.empty(len(order), np.int32)
+        at[np.argsort(interleave, kind="stable")] = place
     return interleave, np.concatenate([p[0] for p in parts])[at], block

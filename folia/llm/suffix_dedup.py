@@ -17,8 +17,8 @@ from folia.llm.spans import PLACE, ROUTED, SPAN, blobs, bucket_count, buffered,
 GRAM = 32
 #: An anchor with more distinct contexts than this is split by the hash of each whole string.
 HOT = 4096
-#: Symbols merged at once, and shards they are dealt to.
-MERGED, SHARDS = 1 << 21, 4
+#: Symbols merged at once (so few that the arrays stay in a core's cache), and shards they are dealt to.
+MERGED, SHARDS = 1 << 16, 4
 #: Text bytes looked at in one piece.
 PIECE = 1 << 20
 _M = 0x9FB21C651E98DF25
