@@ -329,56 +329,243 @@ def link_wide_cells(r: np.ndarray, radius: int, forest: Forest) -> None:
             forest.add(nodes[a], nodes[b])
 
 
-def similar_groups(df: DataFrame, *, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """Groups of rows whose 256-bit fingerprints agree in at least `similarity` of the bits.
+#: Tokens of at most so many texts have all their pairs compared at once; larger ones go round by round.
+SMALL, ROUNDS = 64, 6
+#: Texts counted to tell common shingles from rare ones, and the shingles kept of that count.
+SAMPLED, COMMON = 20_000, 1 << 16
+#: A shingle of a text's prefix, and where it stands in the text's order of rare to common.
+TOKEN = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+MEMBER = np.dtype([("id", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+
+
+def shingle_set(text: bytes, words: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words, seed)]))
+
+
+def rare_first(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set's shingles in an order that is the same for all sets: by sampled count (0 if not in common), then by hash."""
+    if not len(common):
+        return s
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    return s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))]
+
 
-    Shingles as in simhash_groups. That share of bits is the share of a half turn by which two
-    texts' shingle vectors differ: 0.8 of the bits stands for a cosine of 0.81, and texts that
-    share 0.8 of their shingles lie above it. At such distances no cell grid can promise every
-    pair; cells of randomly chosen segments, one bit wide, are made so many that 99 in 100 of
-    the pairs at a shingle-set similarity of 0.8 meet in one, and more of closer pairs. As
-    there, a Manhattan bound on segment counts thins out pairs, the bits decide, and tasks
-    return spanning forests.
+def prefix_length(n: int, similarity: float) -> int:
+    """So many first shingles of two sets of this similarity or more, in one order of all, have one in common."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
-    Ids are distinct and not null. Returns id and component_id of every row.
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """False where sizes, or what can follow the shared shingle if it is the first, rule a pair out."""
+    na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
+    most = np.minimum(na - a["pos"], nb - b["pos"])
+    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (most >= similarity / (1 + similarity) * (na + nb) - 1e-9)
+
+
+def token_pairs(m: np.ndarray, label: np.ndarray, similarity: float, turn: int) -> tuple[list[np.ndarray], bool]:
+    """Pairs (a, b) of ids, a < b, of one token's texts in different groups, and whether these are all.
+
+    A large token whose texts are in many groups only has one of them, drawn anew each turn,
+    compared with the rest; in the last turn nothing is left out.
     """
-    radius = int((1 - similarity) * WIDE * BITS + 1e-9)
+    _, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    cross = (len(m) ** 2 - int((sizes.astype(np.int64) ** 2).sum())) // 2
+    whole = cross <= SMALL * len(m) or turn >= ROUNDS
+    heads = range(len(m) - 1) if whole else [int(np.argmin(mixed(m["id"].view(np.uint64) ^ np.uint64(turn * _SALT & MASK))))]
+    out = []
+    for k in heads:
+        other = np.arange(k + 1 if whole else 0, len(m))
+        other = other[of[other] != of[k]]
+        other = m[other[may_be_similar(m[np.full(len(other), k)], m[other], similarity)]]["id"]
+        out.append(np.stack([np.minimum(other, m["id"][k]), np.maximum(other, m["id"][k])], 1))
+    return out, whole
 
-    def prints(batches):
+
+def pairs_batch(found: list[np.ndarray], left: bool) -> pa.RecordBatch:
+    """Distinct pairs, and a row without a pair if something was left out."""
+    p = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    a, b = [pa.array(np.r_[p[:, k], np.zeros(int(left), np.int64)], mask=np.r_[np.zeros(len(p), bool), np.ones(int(left), bool)]) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+
+def common_shingles(texts: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a seeded sample of texts have, sorted, and their counts: COMMON of them at most.
+
+    They order shingles, and so decide the work, not the result.
+    """
+    share = min(1.0, SAMPLED / max(1, texts.count()))
+    sample = texts.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def each(batches):
         for whole in batches:
             for b in row_slices(whole):
-                found = [wide_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed, WIDE).tobytes() for t in b.column("text")]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "print"])
+                sets = [shingle_set(t.as_buffer().to_pybytes(), words, seed) for t in b.column("text") if t.is_valid]
+                h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    rows = sample.mapInArrow(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    return h[(order := np.argsort(h))], n[order]
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, print binary")
-    rows = materialize(rows, "prints")
-    points = materialize(rows.groupBy("print").agg(F.min("id").alias("least")), "points")
-    partitions = shuffle_partitions(df.sparkSession)
-    plan, buckets = cell_plan(points.count(), seed), 4 * partitions
+
+def shared_tokens(points: DataFrame) -> DataFrame:
+    """(token, m, members) of each shingle that the prefixes of several points (id, n, prefix) have."""
+    partitions = shuffle_partitions(points.sparkSession)
+    buckets = 4 * partitions
 
     def route(batches):
         for whole in batches:
-            for k in range(0, whole.num_rows, 1 << 13):
-                b = whole.slice(k, 1 << 13)
-                p = np.frombuffer(b"".join(b.column("print").to_pylist()), "<u8").reshape(-1, WIDE)
-                r = wide_records(b.column("least").to_numpy(), p, plan)
-                of = (mixed(r["cell"]) % np.uint64(buckets)).astype(np.int32)
+            for b in row_slices(whole, "prefix"):
+                held = [np.frombuffer(x.as_buffer(), "<u8") for x in b.column("prefix")]
+                sizes = np.array([len(x) for x in held], np.int64)
+                r = np.empty(int(sizes.sum()), TOKEN)
+                r["token"] = np.concatenate(held)
+                r["id"], r["n"] = np.repeat(b.column("id").to_numpy(), sizes), np.repeat(b.column("n").to_numpy(), sizes)
+                r["pos"] = np.arange(len(r)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                of = (mixed(r["token"]) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(of, kind="stable")
                 at = np.searchsorted(of[order], np.arange(buckets + 1))
                 used = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r[order[at[u] : at[u + 1]]].tobytes() for u in used], pa.binary())], names=["bucket", "records"])
 
-    def link(batches):
-        held = [np.frombuffer(x.as_buffer(), WIDE_RECORD) for b in batches for x in b.column("records")]
-        if held:
-            forest = Forest()
-            link_wide_cells(np.concatenate(held), radius, forest)
-            pairs = np.array(forest.links, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    def gather(batches):
+        held = [np.frombuffer(x.as_buffer(), TOKEN) for b in batches for x in b.column("records")]
+        if not held:
+            return
+        r = np.concatenate(held)
+        r = r[np.argsort(r["token"], kind="stable")]
+        cut = np.flatnonzero(np.r_[True, r["token"][1:] != r["token"][:-1]])
+        sizes = np.diff(np.r_[cut, len(r)])
+        cut, sizes = cut[sizes > 1], sizes[sizes > 1]
+        m = np.empty(len(r), MEMBER)
+        for k in MEMBER.names:
+            m[k] = r[k]
+        for k in range(0, len(cut), 10_000):
+            part = slice(k, k + 10_000)
+            members = [m[a : a + n].tobytes() for a, n in zip(cut[part].tolist(), sizes[part].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(r["token"][cut[part]].view(np.int64)), pa.array(sizes[part]), pa.array(members, pa.binary())], names=["token", "m", "members"])
+
+    packed = points.mapInArrow(route, "bucket int, records binary").repartition(partitions, "bucket")
+    return packed.mapInArrow(gather, "token long, m long, members binary")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have this similarity or more, by the sets themselves."""
+
+    def sets(batches):
+        for whole in batches:
+            for b in row_slices(whole):
+                found = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed).tobytes() for t in b.column("text")]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "shingles"])
+
+    def check(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+    held = materialize(texts.join(named, F.col("id") == F.col("of"), "left_semi").mapInArrow(sets, "id long, shingles binary"), "sets")
+    first = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    return first.join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def set_links(points: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
+    """Links (a, b) between points, each of this similarity or more: enough of them to connect all that are linked.
+
+    Two sets that similar share one of their first shingles in any order common to all. Texts
+    that share one are compared: all pairs where few do, otherwise one text with the rest, and
+    then again among those that are not yet in one group, until no pair across groups is left.
+    """
+    tokens = materialize(shared_tokens(points), "tokens")
 
-    links = points.mapInArrow(route, "bucket int, records binary").repartition(partitions, "bucket").mapInArrow(link, "a long, b long")
-    named = points.join(components(links), F.col("least") == F.col("node"), "left").select(F.col("print").alias("of"), F.coalesce("root", "least").alias("component_id"))
-    return rows.join(named, F.col("print") == F.col("of")).select(F.col("id").alias(id_col), "component_id")
+    def start(batches):
+        for b in batches:
+            found = []
+            for x in b.column("members"):
+                m = np.frombuffer(x.as_buffer(), MEMBER)
+                found += token_pairs(m, m["id"], similarity, 0)[0]
+            yield pairs_batch(found, False)
+
+    def again(turn):
+        def each(batches):
+            held = [pa.Table.from_batches([b]) for b in batches]
+            if not held:
+                return
+            t = pa.concat_tables(held)
+            token, label = t["token"].to_numpy(), t["label"].to_numpy()
+            m = np.empty(len(token), MEMBER)
+            for k in MEMBER.names:
+                m[k] = t[k].to_numpy()
+            order = np.lexsort((m["id"], token))
+            cut = np.flatnonzero(np.r_[True, np.diff(token[order]) != 0])
+            found, left, n = [], False, 0
+            for k in np.split(order, cut[1:]):
+                pairs, whole = token_pairs(m[k], label[k], similarity, turn)
+                found += pairs
+                left |= not whole
+                n += sum(map(len, pairs))
+                if n >= PAIRS:
+                    found, n = [np.unique(np.concatenate(found), axis=0)], 0
+            yield pairs_batch(found, left)
+
+        return each
+
+    def unpack(batches):
+        for b in batches:
+            for token, x in zip(b.column("token").to_pylist(), b.column("members"), strict=True):
+                m = np.frombuffer(x.as_buffer(), MEMBER)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), token)), *[pa.array(m[k].astype(np.int64)) for k in MEMBER.names]], names=["token", *MEMBER.names])
+
+    pairs = materialize(tokens.select("members").mapInArrow(start, "a long, b long").distinct(), "pairs")
+    links = materialize(similar_pairs(pairs, texts, similarity, words, seed), "links")
+    large = tokens.filter(F.col("m") > 2 * SMALL)  # up to there all pairs have been compared
+    if large.limit(1).count():
+        large = materialize(large.select("token", "members").mapInArrow(unpack, "token long, id long, n long, pos long"), "large")
+        for turn in range(1, ROUNDS + 1):
+            labelled = large.join(components(links), F.col("id") == F.col("node"), "left").select("token", "id", "n", "pos", F.coalesce("root", "id").alias("label"))
+            found = materialize(labelled.repartition(shuffle_partitions(points.sparkSession), "token").mapInArrow(again(turn), "a long, b long").distinct(), "pairs")
+            links = materialize(links.union(similar_pairs(found.filter("a is not null"), texts, similarity, words, seed)), "links")
+            if not found.filter("a is null").limit(1).count():
+                break
+    return links
+
+
+def similar_groups(df: DataFrame, *, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """Groups of rows linked by sets of shingles whose Jaccard similarity is at least `similarity`.
+
+    Shingles as in simhash_groups, each once, by 64 bits of hash. Of texts with one set the
+    least id stands for all. Candidates are texts that share a shingle of their prefixes (see
+    set_links), which every pair of that similarity does, at any number of rows; a candidate
+    is a link only if the sets themselves say so.
+
+    Ids are distinct and not null. Texts without a word have the empty set, and are one group.
+    Returns id and component_id (smallest id of the group) of every row.
+    """
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    common, counts = common_shingles(texts, words, seed)
+
+    def prefixes(batches):
+        for whole in batches:
+            for b in row_slices(whole):
+                keys, sizes, found = [], [], []
+                for t in b.column("text"):
+                    s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed)
+                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sizes.append(len(s))
+                    found.append(rare_first(s, common, counts)[: prefix_length(len(s), similarity)].tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], names=["id", "key", "n", "prefix"])
+
+    rows = materialize(texts.mapInArrow(prefixes, "id long, key binary, n long, prefix binary"), "prefixes")
+    classes = materialize(rows.groupBy("key").agg(F.min("id").alias("least")), "classes")
+    points = rows.join(classes.select("least"), F.col("id") == F.col("least"), "left_semi").select("id", "n", "prefix")
+    links = set_links(points, texts, similarity, words, seed)
+    named = classes.join(components(links), F.col("least") == F.col("node"), "left").select(F.col("key").alias("of"), F.coalesce("root", "least").alias("component_id"))
+    return rows.join(named, F.col("key") == F.col("of")).select(F.col("id").alias(id_col), "component_id")
 
 
 def one_of_each_group(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
