@@ -86,8 +86,8 @@ def dedup_page_lines(pages: DataFrame, *, ratio: float = 0.05, min_pages: int =
     return cleaned.select("row.page_id", "row.host", F.array_join("kept_lines", "\n").alias("text"), "n_lines", "n_dropped")
 
 
-def dedup_document_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """The rows of docs with their text less the lines that a source's documents share. Null text stays null."""
+def dedup_document_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+    """The rows of docs with their text less the lines that over `ratio` of a source's documents share. Null text stays null."""
     cleaned = drop_site_lines(docs, F.col(host_col), F.split(text_col, "\n"), ratio=ratio, min_pages=min_pages)
     text = F.when(F.col(f"row.{text_col}").isNotNull(), F.array_join("kept_lines", "\n"))
     return cleaned.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -139,6 +139,12 @@ def test_document_lines(spark, rows, none):
     assert dedup_document_lines(none).count() == 0
 
 
+def test_document_lines_of_a_twelfth_of_a_source(spark):
+    df = spark.createDataFrame([(k, ("shared line\n" if k % 25 < 2 else "") + ("seldom\n" if k % 25 == 3 else "") + f"body {k}") for k in range(200)], "doc_id long, text string").selectExpr("*", "'s' source")
+    got = {r.doc_id: r.text for r in dedup_document_lines(df).collect()}
+    assert got == {k: ("seldom\n" if k % 25 == 3 else "") + f"body {k}" for k in range(200)}
+
+
 def test_page_lines(spark):
     page = lambda k: f"<html><head><script>x</p></script></head><body><nav>Home &amp; more</nav><p>Text  {k}<br>b</p><footer>&copy; site</footer></body></html>"
     table = [(k, f"http://User@A.b:80/{k}", page(k)) for k in range(20)] + [(20, None, None), (21, "x", "plain")]
