@@ -260,7 +260,8 @@ def simhash_groups(df: DataFrame, *, words: int = 5, radius: int = 3, id_col: st
 
 #: 64-bit words of a wide fingerprint, and bits of the segments that bound its distances.
 WIDE, SEGMENT = 4, 16
-#: Share of the pairs just at similarity 0.8 (by shingle sets) that must share a cell.
+#: Share of the pairs just at the mean bit distance of similarity 0.8 that must share a cell. Distances spread:
+#: of all pairs at 0.8 fewer do, and the fewer the more points there are. similar_groups does not use these cells.
 RECALL = 0.99
 WIDE_RECORD = np.dtype([("cell", "<u8"), ("node", "<i8"), ("print", "<u8", (WIDE,))])
 
