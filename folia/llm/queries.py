@@ -57,7 +57,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_span_dedup(_table(spark, sf_dir, "documents"))
+    return sentence_span_dedup(_table(spark, sf_dir, "documents"), sentences=2, long=25)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

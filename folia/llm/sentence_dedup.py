@@ -18,22 +18,37 @@ SENTENCES = 3
 WORDS = 15
 #: A sentence, or clause of a long one, ends after these marks and white space, or at a line end.
 _END = re.compile(rb"[.!?,;:]+[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
+# Beyond ASCII: marks of Arabic, Ethiopic and the ellipsis need white space as well, which may be a wide one; East Asian marks and dandas need none.
+_SPACE = r"[ \t\r\x0b\x0c\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+_WIDE = r"[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61\uff64\u0964\u0965]"
+_ANY_END = re.compile(rf"[.!?,;:\u2026\u060c\u061b\u061f\u06d4\u1361-\u1368]+{_SPACE}+|{_WIDE}+[.!?,;:]*{_SPACE}*|{_SPACE}*[\n\u0085\u2028\u2029]\s*")
+# Scripts without spaces: kana, ideographs.
+_UNSPACED = re.compile(r"[\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 _M1, _M2 = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 
 
 def sentence_bounds(data: bytes) -> list[int]:
     """0, the ends of all sentences, and the length of the text; each end includes what separates."""
-    ends = [m.end() for m in _END.finditer(data)]
+    if data.isascii():
+        ends = [m.end() for m in _END.finditer(data)]
+    else:
+        text, at, place, ends = data.decode("utf-8", "surrogateescape"), 0, 0, []
+        for m in _ANY_END.finditer(text):
+            place += len(text[at : m.end()].encode("utf-8", "surrogateescape"))
+            at = m.end()
+            ends.append(place)
     if not ends or ends[-1] != len(data):
         ends.append(len(data))
     return [0, *ends]
 
 
-def sentence_runs(data: bytes, sentences: int, words: int) -> tuple[np.ndarray, ...]:
+def sentence_runs(data: bytes, sentences: int, words: int, long: int | None = None) -> tuple[np.ndarray, ...]:
     """h, check, first and end sentence of each run: from every sentence, the shortest run that is long enough.
 
-    Sentences are compared by their words (white space does not count); sentences without a
-    word count for nothing and are skipped over.
+    With `long`, also the shortest such run up to the end of every sentence, so that nothing
+    is left of a repeated stretch that holds a run; each sentence of so many words; and the
+    whole of a text that has no run; kana and ideographs then count as words. Sentences are compared by their words (white
+    space does not count); sentences without a word count for nothing and are skipped over.
     """
     bounds = sentence_bounds(data)
     split = [data[a:b].split() for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -43,10 +58,19 @@ def sentence_runs(data: bytes, sentences: int, words: int) -> tuple[np.ndarray,
         z = np.zeros(0, np.uint64)
         return z, z, z.astype(np.int64), z.astype(np.int64)
     u = np.array([xxhash.xxh3_64_intdigest(b" ".join(split[k])) for k in real], np.uint64)
+    if long and not data.isascii():
+        n = np.maximum(n, [len(_UNSPACED.findall(data[bounds[k] : bounds[k + 1]].decode("utf-8", "surrogateescape"))) for k in real])
     total = np.r_[0, np.cumsum(n)]
     end = np.maximum(np.arange(len(n)) + sentences, np.searchsorted(total, total[:-1] + words))
     start = np.flatnonzero(end <= len(n))
     end = end[start]
+    if long:
+        alone, last = np.flatnonzero(n >= long), np.arange(1, len(n) + 1)
+        back = np.minimum(last - sentences, np.searchsorted(total, total[1:] - words, "right") - 1)
+        last, back = last[back >= 0], back[back >= 0]
+        start, end = np.unique(np.stack([np.r_[start, back, alone], np.r_[end, last, alone + 1]]), axis=1)
+        if not len(start):
+            start, end = np.zeros(1, np.int64), np.full(1, len(n))
     keys = []
     for m in (_M1, _M2):
         power = np.ones(len(n), np.uint64)
@@ -61,19 +85,21 @@ def sentence_runs(data: bytes, sentences: int, words: int) -> tuple[np.ndarray,
     return keys[0], keys[1], real[start], real[end - 1] + 1
 
 
-def sentence_span_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def sentence_span_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, words: int = WORDS, long: int | None = None) -> DataFrame:
     """Remove sentences that lie in a run which an earlier document, or an earlier place, also has.
 
     From each sentence on, the shortest run of at least `sentences` sentences and `words`
     words is hashed. Of the places of one hash in all documents the first, by (id, place),
-    stays; the sentences of all other places go. Sentences end at .!?,;: before white space
-    and at line ends, so that a long sentence counts as its clauses.
+    stays; the sentences of all other places go. Sentences end at .!?,;: before white space,
+    at the like marks of other scripts and at line ends, so that a long sentence counts as its
+    clauses. With `long`, runs are also taken back from the end of each sentence, a sentence
+    of that many words is a run of its own, and a text too short for any run is one as a whole.
 
     Mappers settle repeats inside their own buffers and send one place of each hash; a hash
     in a third of all documents thus reaches its reducer once per buffer.
 
     Returns a row for each row: id, text (what stays), n_sentences, n_removed. Null text: null,
-    0, 0. Empty text: empty, 0, 0. Texts shorter than a run lose nothing. Rows with a repeated
+    0, 0. Empty text: empty, 0, 0. Texts shorter than a run lose nothing without `long`. Rows with a repeated
     or null id are documents of their own, ordered by id (null last) and text. Empty table: no
     rows. Other columns are ignored, whatever their names.
     """
@@ -85,7 +111,7 @@ def sentence_span_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str
             for b in batches:
                 for doc, text in zip(b.column("doc").to_pylist(), b.column("text"), strict=True):
                     if text.is_valid:
-                        h, check, at, to = sentence_runs(text.as_buffer().to_pybytes(), sentences, words)
+                        h, check, at, to = sentence_runs(text.as_buffer().to_pybytes(), sentences, words, long)
                         if len(h):
                             out = np.empty(len(h), PLACE)
                             out["h"], out["check"], out["doc"], out["at"], out["to"] = h, check, doc, at, to

@@ -424,6 +424,35 @@ def test_sentences(docs, rows, none):
     assert sentence_span_dedup(none).count() == 0
 
 
+def test_short_repeats_of_sentences(spark):
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    two, one = f"{words('a', 30)}. {words('b', 26)}. ", f"{words('c', 55)}. "
+    tail = f"{words('d', 9)}. {words('e', 9)}. No more. "
+    wide = "".join(chr(0x4E00 + k) for k in range(20)) + "。" + "".join(chr(0x5E00 + k) for k in range(10)) + "！"
+    texts = [two + "First end.", "Other start. " + two + "Other end.", one + "x.", "y. " + one, words("f", 30), words("f", 30), "Only few.", "Only few.", tail + "Some other.", tail + "Yet more of it.", "天地。" + wide, "人。" + wide + "山。"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sentence_span_dedup(rows, sentences=2, long=25).collect()}
+    left = {1: "Other start. Other end.", 3: "y. ", 5: "", 7: "", 9: "Yet more of it.", 11: "人。山。"}
+    assert got == dict(enumerate(texts)) | left
+
+
+def test_ends_of_sentences():
+    def ends(t):
+        bounds = sentence_bounds(t.encode())
+        return [t.encode()[a:b].decode() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    assert ends("One. Two, 3.5 x\nEnd") == ["One. ", "Two, ", "3.5 x\n", "End"]
+    assert ends("天地。人！ x؟ y…\u00a0é. z") == ["天地。", "人！ ", "x؟ ", "y…\u00a0", "é. ", "z"]
+
+
+def test_op9_takes_short_repeats(spark, tmp_path):
+    from folia.llm.queries import op9_sentence_dedup
+
+    text = " ".join(f"w{k}" for k in range(55)) + "."
+    spark.createDataFrame([(1, text), (2, "Before. " + text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.text for r in op9_sentence_dedup(spark, str(tmp_path)).collect()} == {1: text, 2: "Before. "}
+
+
 # mixing
 
 
