@@ -95,10 +95,9 @@ def by_relation_count(lib: Library, rows: Rows, relation: str, comparator: str,
 
 
 def by_node_count(lib: Library, rows: Rows, scope: str, matching: DataFrame, comparator: str, number: int) -> Rows:
-    """Keep rows by how many matching nodes their item has; in proposition scope, by the most in one proposition."""
-    found = matching.join(item_ids(rows), "item_id", "left_semi")
+    """Keep rows by how many matching nodes (of their items) their item has; in proposition scope, by the most in one proposition."""
     if scope == "proposition":
-        counts = found.filter("prop_path is not null").groupBy("item_id", "prop_path").agg(F.count(F.lit(1)).alias("c")).groupBy("item_id").agg(F.max("c").alias("n"))
+        counts = matching.filter("prop_path is not null").groupBy("item_id", "prop_path").agg(F.count(F.lit(1)).alias("c")).groupBy("item_id").agg(F.max("c").alias("n"))
     else:
-        counts = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+        counts = matching.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     return _by_count(rows, counts, comparator, number)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from folia.plans.ast import NodePredicate
@@ -47,46 +47,69 @@ def simple_condition(predicate: NodePredicate) -> Column | None:
     return condition if predicate.attribute is None else condition & attribute_matches(predicate.attribute, predicate.value)
 
 
-def matching_nodes(lib: Library, predicate: NodePredicate) -> DataFrame:
-    """The rows of lib.nodes that match: for a path, those of its first segment.
+def in_path_order() -> WindowSpec:
+    """The nodes after each node of an item: all that lie below it come first, since a path is followed by those that go on from it."""
+    return Window.partitionBy("item_id").orderBy("node_path").rowsBetween(1, Window.unboundedFollowing)
 
-    Built from the last segment back; each step is one semi join, on the parent's id for a
-    direct child, on the closure for a given or any number of levels.
+
+def lies_below(path: Column) -> Column:
+    """Whether a path leads to a node below this one."""
+    return F.coalesce(F.startswith(path, F.concat("node_path", F.lit("/"))), F.lit(False))
+
+
+def ancestors_at(nodes: DataFrame, levels: int) -> DataFrame:
+    """(item_id, node_path) of the ancestors so many levels above nodes: one for each node, no matter how deep trees are."""
+    path = F.expr(f"substring_index(node_path, '/', depth + {2 - levels})")
+    return nodes.filter(F.col("depth") >= levels).select("item_id", path.alias("node_path")).distinct()
+
+
+def above(candidates: DataFrame, below: DataFrame) -> DataFrame:
+    """The candidates that have one of `below` at any depth under them: one pass over each item in path order."""
+    rows = candidates.withColumn("_below", F.lit(False)).unionByName(below.select("item_id", "node_path", F.lit(True).alias("_below")), allowMissingColumns=True)
+    following = F.first(F.when(F.col("_below"), F.col("node_path")), ignorenulls=True).over(in_path_order())
+    return rows.withColumn("_next", following).filter(~F.col("_below") & lies_below(F.col("_next"))).drop("_below", "_next")
+
+
+def matching_nodes(lib: Library, predicate: NodePredicate, ids: DataFrame | None = None) -> DataFrame:
+    """The rows of lib.nodes (of the items in ids, if given) that match: for a path, those of its first segment.
+
+    Built from the last segment back; each step is a semi join on the parent's id for a direct
+    child, on the path cut short for a number of levels, and one pass in path order for any.
     """
+    nodes = lib.nodes if ids is None else lib.nodes.join(ids, "item_id", "left_semi")
     condition = simple_condition(predicate)
     if condition is not None:
-        return lib.nodes.filter(condition)
+        return nodes.filter(condition)
     path: Path = parse_path(predicate.name)
-    last = NodePredicate(path.segments[-1], predicate.attribute, predicate.value)
-    below = lib.nodes.filter(simple_condition(last)).select("id", "parent_node_id")
+    below = nodes.filter(simple_condition(NodePredicate(path.segments[-1], predicate.attribute, predicate.value)))
     for segment, step in zip(reversed(path.segments[:-1]), reversed(path.steps), strict=True):
+        candidates = nodes.filter(tag_matches(segment))
         if step == 1:
-            above = below.select(F.col("parent_node_id").alias("above")).distinct()
+            below = candidates.join(below.select(F.col("parent_node_id").alias("_above")), F.col("id") == F.col("_above"), "left_semi")
+        elif step is None:
+            below = above(candidates, below)
         else:
-            pairs = lib.closure if step is None else lib.closure.filter(F.col("dist") == step)
-            above = pairs.join(below.select(F.col("id").alias("des_id")), "des_id", "left_semi").select(F.col("anc_id").alias("above")).distinct()
-        found = lib.nodes.filter(tag_matches(segment)).join(above, F.col("id") == F.col("above"), "left_semi")
-        below = found.select("id", "parent_node_id")
-    return found
+            below = candidates.join(ancestors_at(below, step), ["item_id", "node_path"], "left_semi").select(*candidates.columns)
+    return below
 
 
-def flagged_nodes(lib: Library, predicates: list[NodePredicate]) -> DataFrame:
-    """(id, item_id, prop_path, m0, m1, ...): which predicate each node matches, negation left aside."""
-    df, plain = lib.nodes, {}
+def flagged_nodes(lib: Library, predicates: list[NodePredicate], ids: DataFrame | None = None, carry: tuple[Column | str, ...] = ()) -> DataFrame:
+    """(id, item_id, prop_path, carry..., m0, m1, ...): which predicate each node matches, negation left aside."""
+    df, plain = lib.nodes if ids is None else lib.nodes.join(ids, "item_id", "left_semi"), {}
     for k, p in enumerate(predicates):
         condition = simple_condition(p)
         if condition is not None:
             plain[f"m{k}"] = condition
-    df = df.select("id", "item_id", "prop_path", *[c.alias(n) for n, c in plain.items()])
+    df = df.select("id", "item_id", "prop_path", *carry, *[c.alias(n) for n, c in plain.items()])
     for k, p in enumerate(predicates):
         if f"m{k}" not in plain:
-            hits = matching_nodes(lib, p).select("id", F.lit(True).alias(f"m{k}"))
+            hits = matching_nodes(lib, p, ids).select("id", F.lit(True).alias(f"m{k}"))
             df = df.join(hits, "id", "left").withColumn(f"m{k}", F.coalesce(f"m{k}", F.lit(False)))
     return df
 
 
-def items_with(lib: Library, scope: str, predicates: tuple[NodePredicate, ...]) -> DataFrame:
-    """Distinct item_id of the items that the predicates hold for.
+def items_with(lib: Library, scope: str, predicates: tuple[NodePredicate, ...], ids: DataFrame | None = None) -> DataFrame:
+    """Distinct item_id of the items (of those in ids, if given) that the predicates hold for.
 
     Item scope: each positive predicate has a match in the item, no negative one has. Without
     a positive one the item must have a node. Proposition scope: the same inside one innermost
@@ -98,7 +121,7 @@ def items_with(lib: Library, scope: str, predicates: tuple[NodePredicate, ...])
     """
     positive = [p for p in predicates if not p.negated]
     negative = [p for p in predicates if p.negated]
-    df = flagged_nodes(lib, [*positive, *negative])
+    df = flagged_nodes(lib, [*positive, *negative], ids)
     n = len(positive)
     if not positive or scope == "item":
         # nodes that match nothing decide only whether there is any node at all
@@ -107,13 +130,13 @@ def items_with(lib: Library, scope: str, predicates: tuple[NodePredicate, ...])
         if scope != "item":
             df = df.filter("prop_path is not null")
         if positive:
-            df = df.filter(_any(some))
+            df = df.filter(any_of(some))
         have = df.groupBy(*group).agg(*[F.bool_or(c).alias(f"m{k}") for k, c in enumerate(some)])
         keep = F.lit(True)
         for k in range(len(some)):
             keep = keep & (F.col(f"m{k}") if k < n else ~F.col(f"m{k}"))
         return have.filter(keep).select("item_id").distinct()
-    df = df.filter("prop_path is not null").filter(_any([F.col(f"m{k}") for k in range(n + len(negative))]))
+    df = df.filter("prop_path is not null").filter(any_of([F.col(f"m{k}") for k in range(n + len(negative))]))
     mask = sum((F.when(F.col(f"m{k}"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(1, n)), F.lit(0))
     counts = [F.count_if(F.col(f"m{k}")).alias(f"c{k}") for k in range(1, n + len(negative))]
     groups = df.groupBy("item_id", "prop_path").agg(F.collect_set(F.when(F.col("m0"), mask)).alias("masks"), *counts)
@@ -132,7 +155,7 @@ def items_with(lib: Library, scope: str, predicates: tuple[NodePredicate, ...])
     return groups.filter(keep).select("item_id").distinct()
 
 
-def _any(conditions: list[Column]) -> Column:
+def any_of(conditions: list[Column]) -> Column:
     out = F.lit(False)
     for c in conditions:
         out = out | c

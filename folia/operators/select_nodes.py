@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folia.operators.navigate import item_ids
-from folia.operators.predicates import matching_nodes
+from folia.operators.predicates import any_of, flagged_nodes, in_path_order, lies_below
 from folia.plans.ast import NodePredicate
 from folia.plans.library import Library
 from folia.plans.rows import Rows, rows_of
@@ -15,16 +14,19 @@ from folia.plans.rows import Rows, rows_of
 def select_nodes(lib: Library, rows: Rows, target: NodePredicate, predicates: tuple[NodePredicate, ...]) -> Rows:
     """Nodes of the rows' items that match the target, and below which every predicate has a match (or none, if negated).
 
-    Of nested matches the innermost stays: in path order inside an item, a node's descendants
-    follow it at once, so the next path tells. Ordered by article, text position and path.
+    Of nested matches the innermost stays. Targets and matches of all predicates of an item go
+    through one pass in path order: what lies below a node follows it at once, so the next
+    match of each kind tells. Ordered by article, text position and path.
     """
-    found = matching_nodes(lib, target).join(item_ids(rows), "item_id", "left_semi")
-    for p in predicates:
-        below = matching_nodes(lib, p).select(F.col("id").alias("des_id"))
-        above = lib.closure.join(below, "des_id", "left_semi").select(F.col("anc_id").alias("above")).distinct()
-        found = found.join(above, F.col("id") == F.col("above"), "left_anti" if p.negated else "left_semi")
-    following = F.lead("node_path").over(Window.partitionBy("item_id").orderBy("node_path"))
-    found = found.withColumn("_next", following).filter(~F.coalesce(F.startswith("_next", F.concat("node_path", F.lit("/"))), F.lit(False))).drop("_next")
+    flags = [f"m{k}" for k in range(len(predicates) + 1)]
+    df = flagged_nodes(lib, [target, *predicates], item_ids(rows), ("node_path", F.struct("tag_lc", "attrs", "pos", "spelling", "raw").alias("node")))
+    df = df.filter(any_of([F.col(m) for m in flags])).withColumn("node", F.when(F.col("m0"), F.col("node")))
+    order, keep = in_path_order(), F.col("m0")
+    df = df.withColumns({f"below{k}": lies_below(F.first(F.when(F.col(f"m{k}"), F.col("node_path")), ignorenulls=True).over(order)) for k in range(1, len(flags))})
+    for k, p in enumerate(predicates, 1):
+        keep = keep & (~F.col(f"below{k}") if p.negated else F.col(f"below{k}"))
+    found = df.filter(keep).select("id", "item_id", "node_path", "node.*")
+    found = found.withColumn("_nested", lies_below(F.first("node_path").over(order))).filter(~F.col("_nested")).drop("_nested")
     items = lib.view_items.select("item_id", "article_name", "lib_id", "kind", F.col("subkind").alias("item_subkind"))
     attrs = F.col("attrs")
     df = found.join(items, "item_id").select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folia.operators import setops
 from folia.operators.filters import by_criteria, by_number, by_regex
-from folia.operators.navigate import by_node_count, by_relation_count, follow
+from folia.operators.navigate import by_node_count, by_relation_count, follow, item_ids
 from folia.operators.predicates import items_with, matching_nodes
 from folia.operators.select_nodes import select_nodes
 from folia.plans import ast
@@ -79,7 +79,9 @@ class Compiler:
     @rows.register
     def _(self, q: ast.ScopedQuery) -> Rows:
         base = self.rows(q.query)
-        ids = items_with(self.lib, q.scope, q.predicates)
+        # a list of one article, or what steps have left, is worth looking up first; a list of everything of a type is not
+        narrow = not isinstance(q.query, ast.ListQuery) or q.query.source
+        ids = items_with(self.lib, q.scope, q.predicates, item_ids(base) if narrow else None)
         return Rows(base.df.join(ids, "item_id", "left_semi"), base.order, base.unique)
 
     @rows.register
@@ -129,4 +131,4 @@ class Compiler:
 
     @step.register
     def _(self, op: ast.NodeCount, rows: Rows) -> Rows:
-        return by_node_count(self.lib, rows, op.scope, matching_nodes(self.lib, ast.NodePredicate(op.name)), op.comparator, op.number)
+        return by_node_count(self.lib, rows, op.scope, matching_nodes(self.lib, ast.NodePredicate(op.name), item_ids(rows)), op.comparator, op.number)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from folia.engine import Engine
 from folia.plans.paging import PageRequest
 from folia.sources.pages import page_library
-from folia.sources.starschema import duck_ctes, star_library
+from folia.sources.starschema import star_library, star_tables
 
 ITEM = ("item_id", "lib_id", "article_name", "kind", "subkind", "node_type", "text_content")
 NODE = ("item_id", "node_id", "node_path", "article_name", "node_type", "text_position", "spelling", "raw_text")
@@ -25,33 +26,38 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _engines:
         library = star_library(spark, sf_dir, keep=True)
-        library.persist("item_node", "mml_item", "item_constructor_ref", "nodes", "closure", "view_items")
+        library.persist("item_node", "mml_item", "item_constructor_ref", "nodes", "view_items")
         _engines[key] = Engine(spark, library)
     return _engines[key]
 
 
-_BASE = f"""WITH {duck_ctes()},
-item_node AS (SELECT *, '<' || tag || coalesce(' spelling="' || a_spelling || '"', '') || '>' AS raw FROM flat_node),
-nd AS (SELECT *, lower(tag) AS t, nullif(regexp_extract(lower(node_path), '^(.*/proposition\\[[0-9]+\\])', 1), '') AS prop FROM item_node),
-vi AS (SELECT i.id AS item_id, i.lib_id, a.name AS article_name, i.kind, i.subkind, i.text_content, i.article_id FROM mml_item i JOIN article a ON a.id = i.article_id),
-roots AS (SELECT item_id, node_type AS root_type FROM nd WHERE depth = 0),
-va AS (SELECT item_id, lib_id, article_name, kind, subkind, text_content, CASE WHEN kind = 'statement' AND subkind = 'th' THEN 'theorems' WHEN kind = 'statement' AND subkind IN ('def', 'dfs') THEN 'definitions'
-       WHEN kind = 'statement' AND subkind = 'sch' THEN 'schemes' WHEN kind = 'registration' THEN 'registrations' ELSE kind END AS node_type FROM vi),
-vs AS (SELECT vi.*, s.statement_kind, coalesce(r.root_type, 'no_nodes') AS node_type FROM vi JOIN statement s USING (item_id) LEFT JOIN roots r USING (item_id)),
-vt AS (SELECT * FROM vs WHERE statement_kind = 'th' AND node_type = 'theorems'),
-vd AS (SELECT * FROM vs WHERE statement_kind IN ('def', 'dfs') AND node_type = 'definitions'),
-vr AS (SELECT vi.*, g.main_mode_constructor_id, g.main_func_constructor_id, CASE WHEN r.root_type IS NULL OR r.root_type = 'no_nodes' THEN 'registrations' ELSE r.root_type END AS node_type
-       FROM vi JOIN registration g USING (item_id) LEFT JOIN roots r USING (item_id)),
-vc AS (SELECT vi.item_id, lib_id, article_name, 'constructor' AS kind, constructor_kind AS subkind, 'constructors' AS node_type, text_content FROM vi JOIN constructor USING (item_id)),
-vn AS (SELECT vi.item_id, lib_id, article_name, 'notation' AS kind, notation_kind AS subkind, 'notations' AS node_type, text_content FROM vi JOIN notation USING (item_id)),
-sy AS (SELECT nd.item_id, nd.id AS node_id, node_path, lib_id, article_name, 'symbols' AS node_type, coalesce(a_position, cast(pos as string)) AS text_position, trim(a_spelling) AS spelling, text_content
-       FROM nd JOIN vi USING (item_id) WHERE t LIKE '%-pattern' AND trim(coalesce(a_spelling, '')) <> ''),
-cl AS (SELECT d.item_id, a.id AS anc, d.id AS des, d.depth - a.depth AS dist FROM nd d JOIN nd a ON a.item_id = d.item_id AND starts_with(d.node_path, a.node_path || '/')),
-nr AS (SELECT nd.item_id, nd.id AS node_id, node_path, article_name, coalesce(a_kind, t) AS node_type, coalesce(a_position, cast(pos as string)) AS text_position, trim(coalesce(a_spelling, '')) AS spelling, raw AS raw_text,
-       t, a_spelling, a_nonocc, a_kind, kind AS item_kind, subkind AS item_sub, lib_id FROM nd JOIN vi USING (item_id))
-"""
-
-# name: query, columns, SQL after _BASE
+#: Derived tables by name, after those of the star-schema library. A statement has only the ones that it uses.
+_DERIVED = {
+    "item_node": """SELECT *, '<' || tag || coalesce(' spelling="' || a_spelling || '"', '') || '>' AS raw FROM flat_node""",
+    "nd": """SELECT *, lower(tag) AS t, CASE WHEN starts_with(node_path, '/Item[1]/Proposition[') THEN split_part(node_path, '/', 3) END AS prop FROM item_node""",  # propositions are not nested
+    "vi": """SELECT i.id AS item_id, i.lib_id, a.name AS article_name, i.kind, i.subkind, i.text_content, i.article_id FROM mml_item i JOIN article a ON a.id = i.article_id""",
+    "roots": """SELECT item_id, node_type AS root_type FROM flat_node WHERE depth = 0""",
+    "va": """SELECT item_id, lib_id, article_name, kind, subkind, text_content, CASE WHEN kind = 'statement' AND subkind = 'th' THEN 'theorems' WHEN kind = 'statement' AND subkind IN ('def', 'dfs') THEN 'definitions'
+       WHEN kind = 'statement' AND subkind = 'sch' THEN 'schemes' WHEN kind = 'registration' THEN 'registrations' ELSE kind END AS node_type FROM vi""",
+    "vs": """SELECT vi.*, s.statement_kind, coalesce(r.root_type, 'no_nodes') AS node_type FROM vi JOIN statement s USING (item_id) LEFT JOIN roots r USING (item_id)""",
+    "vt": """SELECT * FROM vs WHERE statement_kind = 'th' AND node_type = 'theorems'""",
+    "vd": """SELECT * FROM vs WHERE statement_kind IN ('def', 'dfs') AND node_type = 'definitions'""",
+    "vr": """SELECT vi.*, g.main_mode_constructor_id, g.main_func_constructor_id, CASE WHEN r.root_type IS NULL OR r.root_type = 'no_nodes' THEN 'registrations' ELSE r.root_type END AS node_type
+       FROM vi JOIN registration g USING (item_id) LEFT JOIN roots r USING (item_id)""",
+    "vc": """SELECT vi.item_id, lib_id, article_name, 'constructor' AS kind, constructor_kind AS subkind, 'constructors' AS node_type, text_content FROM vi JOIN constructor USING (item_id)""",
+    "vn": """SELECT vi.item_id, lib_id, article_name, 'notation' AS kind, notation_kind AS subkind, 'notations' AS node_type, text_content FROM vi JOIN notation USING (item_id)""",
+    "sy": """SELECT nd.item_id, nd.id AS node_id, node_path, lib_id, article_name, 'symbols' AS node_type, coalesce(a_position, cast(pos as string)) AS text_position, trim(a_spelling) AS spelling, text_content
+       FROM nd JOIN vi USING (item_id) WHERE t LIKE '%-pattern' AND trim(coalesce(a_spelling, '')) <> ''""",
+    "nr": """SELECT nd.item_id, nd.id AS node_id, node_path, article_name, coalesce(a_kind, t) AS node_type, coalesce(a_position, cast(pos as string)) AS text_position, trim(coalesce(a_spelling, '')) AS spelling, raw AS raw_text,
+       t, a_spelling, a_nonocc, a_kind, kind AS item_kind, subkind AS item_sub, lib_id FROM nd JOIN vi USING (item_id)""",
+    "up": "SELECT item_id, id, parent_node_id AS parent FROM flat_node WHERE parent_node_id IS NOT NULL",
+    "up2": "SELECT a.item_id, a.id, b.parent FROM up a JOIN up b ON b.id = a.parent",
+    "up3": "SELECT a.item_id, a.id, b.parent FROM up2 a JOIN up b ON b.id = a.parent",
+    "up4": "SELECT a.item_id, a.id, b.parent FROM up3 a JOIN up b ON b.id = a.parent",
+    "cl": " UNION ALL ".join(f"SELECT item_id, parent AS anc, id AS des, {k} AS dist FROM up{k if k > 1 else ''}" for k in range(1, 5)),  # no tree is deeper
+}
+
+# name: query, columns, SQL over the derived tables
 _QUERIES: dict[str, tuple[str, tuple[str, ...], str]] = {}
 
 
@@ -119,18 +125,19 @@ _items("where_item_has_not", "list of statement where item has InfixTerm and ite
 _items("where_prop_has", "list of theorem where proposition has InfixTerm spelling 'N' and proposition has InfixTerm spelling 'O'", "vt",
        f"item_id IN (SELECT a.item_id FROM (SELECT * FROM nd WHERE {_N}) a JOIN (SELECT * FROM nd WHERE {_O}) b ON a.item_id = b.item_id AND a.prop = b.prop WHERE a.id <> b.id)")
 _items("where_prop_two_distinct", "list of statement where proposition has InfixTerm and proposition has InfixTerm", "vs",
-       "item_id IN (SELECT a.item_id FROM nd a JOIN nd b ON a.item_id = b.item_id AND a.prop = b.prop WHERE a.t = 'infix-term' AND b.t = 'infix-term' AND a.id <> b.id)")
+       "item_id IN (SELECT item_id FROM nd WHERE t = 'infix-term' AND prop IS NOT NULL GROUP BY item_id, prop HAVING count(*) > 1)")
 _items("where_prop_not_has", "list of statement where proposition has NumeralTerm['number'='5'] and proposition not has InfixTerm[spelling='N']", "vs",
-       f"item_id IN (SELECT a.item_id FROM nd a WHERE a.t = 'numeral-term' AND a.a_number = '5' AND a.prop IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nd b WHERE b.item_id = a.item_id AND b.prop = a.prop AND b.t = 'infix-term' AND lower(b.a_spelling) = 'n'))")
+       f"""item_id IN (SELECT item_id FROM nd WHERE prop IS NOT NULL GROUP BY item_id, prop
+       HAVING count(*) FILTER (WHERE t = 'numeral-term' AND a_number = '5') > 0 AND count(*) FILTER (WHERE t = 'infix-term' AND lower(a_spelling) = 'n') = 0)""")
 _items("where_all_negative", "list of statement where proposition has not InfixTerm spelling 'N'", "vs",
-       f"item_id IN (SELECT a.item_id FROM nd a WHERE a.prop IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nd b WHERE b.item_id = a.item_id AND b.prop = a.prop AND b.t = 'infix-term' AND lower(b.a_spelling) = 'n'))")
+       f"item_id IN (SELECT item_id FROM nd WHERE prop IS NOT NULL GROUP BY item_id, prop HAVING count(*) FILTER (WHERE t = 'infix-term' AND lower(a_spelling) = 'n') = 0)")
 _items("where_item_all_negative", "list of all where item has not InfixTerm", "va", "item_id IN (SELECT item_id FROM nd) AND NOT " + _in_item("t = 'infix-term'"))
 _items("where_attr_value", "list of theorem where item has NumeralTerm['number'='50']", "vt", _in_item("t = 'numeral-term' AND a_number = '50'"))
 _items("where_attr_wildcard", "list of theorem where item has *[xmlid='X1*.4']", "vt", _in_item("lower(a_xmlid) LIKE 'x1%.4'"))
 _items("where_attr_any_key", "list of statement where item has *[\"*occ*\"='false']", "vs", _in_item("a_nonocc = 'false' OR a_occurs = 'false'"))
 _items("where_tag_wildcard", "list of statement where item has \"*-pattern\" and item has not \"re_efine\"", "vs", _in_item("t LIKE '%-pattern'") + " AND NOT " + _in_item("t LIKE 're_efine'"))
-_items("where_path_child", "list of statement where item has Proposition/InfixTerm spelling 'O'", "vs",
-       "item_id IN (SELECT a.item_id FROM nd a JOIN cl ON cl.anc = a.id JOIN nd d ON d.id = cl.des WHERE a.t = 'proposition' AND d.t = 'infix-term' AND lower(d.a_spelling) = 'o' AND dist = 1)")
+_items("where_path_child", "list of statement where item has Proposition/InfixTerm spelling 'N'", "vs",
+       "item_id IN (SELECT a.item_id FROM nd a JOIN nd d ON d.parent_node_id = a.id WHERE a.t = 'proposition' AND d.t = 'infix-term' AND lower(d.a_spelling) = 'n')")
 _items("where_path_desc", "list of statement where item has Proposition//InfixTerm[spelling='O']", "vs",
        "item_id IN (SELECT a.item_id FROM nd a JOIN cl ON cl.anc = a.id JOIN nd d ON d.id = cl.des WHERE a.t = 'proposition' AND d.t = 'infix-term' AND lower(d.a_spelling) = 'o')")
 _items("where_path_exact_depth", "list of statement where item has Item/4/NumeralTerm", "vs", _anchor("item", "numeral-term", "dist = 4"))
@@ -142,7 +149,7 @@ _items("negated_adjective", "list of statement where proposition has negated adj
 # nodes
 _NUMERAL = "nd.t = 'numeral-term'"
 _nodes("nodes_basic", "list of statement in NATION_2 | nodes Proposition", "t = 'proposition' AND article_name = 'NATION_2'", nested=False)
-_nodes("nodes_attr", "list of statement | nodes Attribute[nonocc='true'] where spelling '*' | filter('spelling=F')", "false", nested=False)
+_nodes("nodes_attr", "list of statement | nodes Attribute[nonocc='true'] | filter('spelling=F')", "t = 'attribute' AND a_nonocc = 'true' AND lower(spelling) = 'f'", nested=False)
 _nodes("nodes_where_has", "list of theorem | nodes Proposition where has InfixTerm/InfixTerm spelling 'O'",
        "t = 'proposition' AND " + _below("nd.t = 'infix-term' AND EXISTS (SELECT 1 FROM nd c WHERE c.parent_node_id = nd.id AND c.t = 'infix-term' AND lower(c.a_spelling) = 'o')"), "vt", nested=False)
 _nodes("nodes_not_has", "list of definition | nodes Proposition where not has InfixTerm[spelling='N'] and has NumeralTerm", f"t = 'proposition' AND NOT {_below(_N)} AND {_below(_NUMERAL)}", "vd", nested=False)
@@ -167,7 +174,8 @@ _items("numeq", "list of statement | numeq(4)", "vs", _in_item(f"{_NUM} AND a_nu
 for _op, _sign in (("ge", ">="), ("le", "<="), ("gt", ">"), ("lt", "<")):
     _items(f"num{_op}", f"list of theorem | num{_op}(5)", "vt", _in_item(f"{_NUM} AND cast(a_number as bigint) {_sign} 5"))
 _items("number_infix", "list of definition | number >= 49", "vd", _in_item(f"{_NUM} AND cast(a_number as bigint) >= 49"))
-_add("symbol_numeric_expression", "occurrences of symbols | numgt(1)", COUNT, "")
+_add("symbol_numeric_expression", "occurrences of symbols | numgt(9)", COUNT,
+     r"SELECT spelling, count(*) AS occurrences FROM sy WHERE cast(nullif(regexp_extract(spelling, '^.(\d+) . (\d+)', 1), '') as int) + cast(nullif(regexp_extract(spelling, '^.(\d+) . (\d+)', 2), '') as int) > 4 GROUP BY spelling")  # twice the sum is over 9
 
 # counts
 _COUNTS = {
@@ -199,12 +207,7 @@ _items("set_nested", "(list of theorem or list of definition) and not (list of a
 _items("set_pipeline", "list of statement | wherege(proposition:numeralterm,2) and list of statement where item has InfixTerm | numgt(49)", "vs",
        "item_id IN (SELECT item_id FROM (SELECT item_id, prop, count(*) AS n FROM nd WHERE t = 'numeral-term' AND prop IS NOT NULL GROUP BY item_id, prop) c GROUP BY item_id HAVING max(n) >= 2) AND "
        + _in_item("t = 'infix-term'") + " AND " + _in_item(f"{_NUM} AND cast(a_number as bigint) > 49"))
-_QUERIES["nodes_attr"] = (
-    _QUERIES["nodes_attr"][0].replace(" where spelling '*'", ""), NODE,
-    f"SELECT {', '.join(NODE)} FROM nr WHERE item_id IN (SELECT item_id FROM vs) AND t = 'attribute' AND a_nonocc = 'true' AND lower(spelling) = 'f'",
-)
-
-# relations: name, columns, SQL after _BASE
+# relations: name, columns, SQL over the derived tables
 _VIEWS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "article_summary": ("view_article_summary", ("article_name", "items", "constructors", "notations", "statements", "registrations"),
         """SELECT a.name AS article_name, count(i.id) AS items, count(i.id) FILTER (WHERE kind = 'constructor') AS constructors, count(i.id) FILTER (WHERE kind = 'notation') AS notations,
@@ -248,7 +251,7 @@ _VIEWS: dict[str, tuple[str, tuple[str, ...], str]] = {
 }
 
 _PAGE = ("position", "item_id", "lib_id", "article_name")
-# name: query, request, columns, SQL after _BASE
+# name: query, request, columns, SQL over the derived tables
 _PAGES: dict[str, tuple[str, PageRequest, tuple[str, ...], str]] = {
     "page_default": ("list of theorem", PageRequest(page=2, size=25), _PAGE,
         "SELECT cast(row_number() OVER (ORDER BY article_name, lib_id, item_id) as int) AS position, item_id, lib_id, article_name FROM vt QUALIFY position BETWEEN 51 AND 75"),
@@ -297,6 +300,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: _run(n) for n in _QUERIES} | {f"view_{n}": _view(n) for n in _VIEWS} | {n: _page(n) for n in _PAGES} | {"pages_where_path": pages_where_path}
 
 
+#: Tables that many parts of a statement read, and that are small: made once.
+_ONCE = ("lines", "up")
+
+
+def statement(sql: str) -> str:
+    """A statement with the tables that it uses, and no others, in front."""
+    tables = star_tables() | _DERIVED
+    uses = {n: [m for m in tables if m != n and re.search(rf"\b{m}\b", t)] for n, t in tables.items()}
+    wanted, left = set(), [n for n in tables if re.search(rf"\b{n}\b", sql)]
+    while left:
+        if (n := left.pop()) not in wanted:
+            wanted.add(n)
+            left += uses[n]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in _ONCE else ''}({t})" for n, t in tables.items() if n in wanted]
+    return f"WITH {', '.join(parts)}{sql}" if sql.startswith(",") else f"WITH {', '.join(parts)} {sql}"
+
+
 def oracle_sql() -> dict[str, str]:
     found = {n: sql for n, (_, _, sql) in _QUERIES.items()} | {f"view_{n}": sql for n, (_, _, sql) in _VIEWS.items()} | {n: sql for n, (*_, sql) in _PAGES.items()}
-    return {n: f"{_BASE}{sql}" for n, sql in found.items() if sql}
+    return {n: statement(sql) for n, sql in found.items() if sql}

@@ -7,6 +7,8 @@ references. Tables named in braces are the inputs.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +93,8 @@ SQL = {
         UNION ALL SELECT i.id || ':r', i.id, i.id || ':0', '/Item[1]/Redefine[' || cast(coalesce(n.n, 0) + 1 as string) || ']', cast(coalesce(n.n, 0) + 1 as int), 1, 'Redefine', 'no_nodes', NULL, NULL, NULL, NULL, NULL,
                CASE i.k % 2 WHEN 0 THEN 'true' ELSE 'false' END, NULL FROM {order_items} i LEFT JOIN (SELECT k, count(*) AS n FROM {lines} GROUP BY k) n ON n.k = i.k WHERE i.sub = 'def'
         UNION ALL SELECT i.id || ':p', i.id, i.id || ':0', '/Item[1]/Attribute-Pattern[' || cast(coalesce(n.n, 0) + 2 as string) || ']', cast(coalesce(n.n, 0) + 2 as int), 1, 'Attribute-Pattern', 'symbols', NULL,
-               NULL, NULL, i.segment, NULL, NULL, NULL FROM {order_items} i LEFT JOIN (SELECT k, count(*) AS n FROM {lines} GROUP BY k) n ON n.k = i.k WHERE i.sub <> 'sch'""",
+               NULL, NULL, CASE i.sub WHEN 'sch' THEN '(' || cast(coalesce(n.n, 0) as string) || ' + ' || cast(i.k % 5 as string) || ') * 2' ELSE i.segment END, NULL, NULL, NULL
+               FROM {order_items} i LEFT JOIN (SELECT k, count(*) AS n FROM {lines} GROUP BY k) n ON n.k = i.k""",
 }
 
 
@@ -113,11 +116,6 @@ def star_library(spark: SparkSession, directory: str, *, keep: bool = False) ->
     return Library(spark, {n: df for n, df in frames.items() if n not in (*INPUTS, "order_items", "supplier_items", "part_items", "lines")})
 
 
-def duck_ctes() -> str:
-    """The same tables as common table expressions, for another engine."""
-    out = []
-    for name, text in SQL.items():
-        for n in (*INPUTS, *SQL):
-            text = text.replace("{" + n + "}", n)
-        out.append(f"{name} AS ({text})")
-    return ",\n".join(out)
+def star_tables() -> dict[str, str]:
+    """The same tables as SQL for another engine, in the order in which they build on each other."""
+    return {name: re.sub(r"\{(\w+)\}", r"\1", text) for name, text in SQL.items()}
