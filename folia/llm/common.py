@@ -21,9 +21,11 @@ SEED = 42
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where it is unset (tests, one machine) a local one."""
+    """The shared folder of spark.checkpoint.dir. Only a session on one machine may do without, with a folder of its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.folia.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folia-")
         spark.conf.set("spark.folia.scratch", found)
     return found.rstrip("/")
@@ -38,7 +40,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_folder = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = vars(df).get("scratch_folder")
+        if path:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def maybe_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -56,8 +69,14 @@ def odd_ids(df: DataFrame, id_col: str) -> bool:
     return df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").limit(1).count() > 0
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def data_partitions(df: DataFrame, grow: float = 1.0, target: int = 128 << 20) -> int:
+    """Partitions for a shuffle of grow times the bytes of df, as its files say: `target` bytes each, or the session's number if that is more.
+
+    Tasks that gather a partition hold about that much, however large the input. A frame that is
+    not read from files, whose size Spark does not know, gets the session's number.
+    """
+    size, least = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-int(size * grow) // target)) if size < 1 << 55 else least
 
 
 def order_key(seed: int, *cols: Column) -> Column:

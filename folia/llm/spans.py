@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import materialize, odd_ids, shuffle_partitions
+from folia.llm.common import data_partitions, materialize, odd_ids
 
 PLACE = np.dtype([("h", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("to", "<u4")])
 SPAN = np.dtype([("doc", "<i8"), ("at", "<u4"), ("to", "<u4")])
+#: [at, to) of doc is what stands in document `of` from of_at on, and goes if that goes.
+RIDER = np.dtype([("doc", "<i8"), ("at", "<u4"), ("to", "<u4"), ("of", "<i8"), ("of_at", "<u4")])
 #: Records that a mapper gathers before it settles and routes them.
 BUFFER = 1 << 20
 ROUTED = "bucket int, places binary, spans binary"
@@ -95,13 +97,30 @@ def buffered(parts: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBat
         yield routed(*settle(np.concatenate(held)), buckets)
 
 
-def by_bucket(rows: DataFrame) -> DataFrame:
-    """Bring the rows of a bucket together; buckets are several times as many as partitions."""
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "bucket")
+def bucket_count(df: DataFrame, grow: float = 1.0) -> int:
+    """Buckets for a shuffle of `grow` times the bytes of df; four make a partition."""
+    return 4 * data_partitions(df, grow)
 
 
-def bucket_count(df: DataFrame) -> int:
-    return 4 * shuffle_partitions(df.sparkSession)
+def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    """Bring the rows of a bucket together, bucket after bucket, so that a task holds one at a time."""
+    return rows.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket")
+
+
+def each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of one bucket after the other, from rows in order of bucket."""
+    held, last = [], None
+    for b in batches:
+        of = b.column("bucket").to_numpy()
+        cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(of)], strict=True):
+            if held and of[a] != last:
+                yield held
+                held = []
+            held.append(b.slice(a, z - a))
+            last = of[a]
+    if held:
+        yield held
 
 
 def blobs(column: pa.Array, dtype: np.dtype) -> np.ndarray:
@@ -121,31 +140,96 @@ def joined(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def to_docs(records: np.ndarray, buckets: int, column: str) -> pa.RecordBatch:
-    """Records with a field doc, packed by bucket of documents."""
-    of = (mixed(records["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+def to_docs(records: np.ndarray, buckets: int, column: str, key: str = "doc") -> pa.RecordBatch:
+    """Records packed by bucket of the document that their field `key` names."""
+    of = (mixed(records[key].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(of, kind="stable")
     records, at = records[order], np.searchsorted(of[order], np.arange(buckets + 1))
     used = np.flatnonzero(np.diff(at))
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([records[at[k] : at[k + 1]].tobytes() for k in used], pa.binary())], names=["bucket", column])
 
 
-def per_doc(packed: DataFrame, column: str, dtype: np.dtype, prepare=None) -> DataFrame:
-    """One row (doc, records) for each document, from the rows of to_docs; prepare may thin out or sort all records of a task."""
+def packed_spans(parts: Iterator[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Gather spans up to BUFFER, join those that touch, and pack them by bucket of documents."""
+    held, n = [], 0
+    for x in parts:
+        held.append(x)
+        n += len(x)
+        if n >= BUFFER:
+            held = [joined(np.concatenate(held))]
+            if (n := len(held[0])) >= BUFFER // 2:
+                yield to_docs(held[0], buckets, "spans")
+                held, n = [], 0
+    if n:
+        yield to_docs(joined(np.concatenate(held)), buckets, "spans")
+
+
+def per_doc(packed: DataFrame, column: str, dtype: np.dtype, buckets: int, prepare=None) -> DataFrame:
+    """One row (doc, records) for each document, from the rows of to_docs; prepare may thin out or sort the records of a bucket."""
 
     def gather(batches):
-        held = [blobs(b.column(column), dtype) for b in batches]
-        if not held:
-            return
-        r = np.concatenate(held)
-        r = prepare(r) if prepare else r[np.argsort(r["doc"], kind="stable")]
-        cut = np.flatnonzero(np.r_[True, r["doc"][1:] != r["doc"][:-1]]) if len(r) else np.zeros(0, int)
-        for k in range(0, len(cut), 10_000):
-            ends = np.r_[cut, len(r)][k : k + 10_001]
-            packed_rows = [r[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(r["doc"][ends[:-1]]), pa.array(packed_rows, pa.binary())], names=["doc", column])
-
-    return by_bucket(packed.select("bucket", column)).mapInArrow(gather, f"doc long, {column} binary")
+        for held in each_bucket(batches):
+            r = np.concatenate([blobs(b.column(column), dtype) for b in held])
+            r = prepare(r) if prepare else r[np.argsort(r["doc"], kind="stable")]
+            cut = np.flatnonzero(np.r_[True, r["doc"][1:] != r["doc"][:-1]]) if len(r) else np.zeros(0, int)
+            for k in range(0, len(cut), 10_000):
+                ends = np.r_[cut, len(r)][k : k + 10_001]
+                packed_rows = [r[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc"][ends[:-1]]), pa.array(packed_rows, pa.binary())], names=["doc", column])
+
+    return by_bucket(packed.select("bucket", column), buckets).mapInArrow(gather, f"doc long, {column} binary")
+
+
+def witnesses(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first two places of each key, sorted by key, and all others as riders on the second: runs of what moves alike are one rider."""
+    if not len(places):
+        return places, np.zeros(0, RIDER)
+    p = places[np.lexsort((places["at"], places["doc"], places["check"], places["h"]))]
+    other = (p["h"][1:] != p["h"][:-1]) | (p["check"][1:] != p["check"][:-1])
+    p = p[np.r_[True, other | (p["doc"][1:] != p["doc"][:-1]) | (p["at"][1:] != p["at"][:-1])]]  # one place named twice is one place
+    first = np.flatnonzero(np.r_[True, (p["h"][1:] != p["h"][:-1]) | (p["check"][1:] != p["check"][:-1])])
+    rank = np.arange(len(p)) - np.repeat(first, np.diff(np.r_[first, len(p)]))
+    late = np.flatnonzero(rank > 1)
+    second = late - rank[late] + 1
+    out = np.empty(len(late), RIDER)
+    for k in SPAN.names:
+        out[k] = p[k][late]
+    out["of"], out["of_at"] = p["doc"][second], p["at"][second]
+    return p[rank < 2], chained(out)
+
+
+def chained(riders: np.ndarray) -> np.ndarray:
+    """The same riders with those joined that touch and stand in one document at one distance."""
+    if not len(riders):
+        return riders
+    shift = riders["of_at"].astype(np.int64) - riders["at"]
+    order = np.lexsort((riders["at"], shift, riders["of"], riders["doc"]))
+    r, shift = riders[order], shift[order]
+    group = np.cumsum(np.r_[0, (r["doc"][1:] != r["doc"][:-1]) | (r["of"][1:] != r["of"][:-1]) | (shift[1:] != shift[:-1])]) << 33
+    reach = np.maximum.accumulate(group + r["to"])
+    fresh = np.flatnonzero(np.r_[True, group[1:] + r["at"][1:] > reach[:-1]])
+    out = r[fresh].copy()
+    out["to"] = reach[np.r_[fresh[1:] - 1, len(r) - 1]] & ((1 << 33) - 1)
+    return out
+
+
+def ridden(riders: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Spans of the riders' documents that stand, in the documents they ride on, inside these spans."""
+    spans = joined(spans)
+    docs = np.unique(np.r_[spans["doc"], riders["of"]])
+    of_span, of_rider = np.searchsorted(docs, spans["doc"]) << 33, np.searchsorted(docs, riders["of"]) << 33
+    length = riders["to"].astype(np.int64) - riders["at"]
+    lo = np.searchsorted(of_span + spans["to"], of_rider + riders["of_at"], "right")
+    hi = np.searchsorted(of_span + spans["at"], of_rider + riders["of_at"] + length, "left")
+    n = np.maximum(hi - lo, 0)
+    r = np.repeat(np.arange(len(riders)), n)
+    x = spans[np.repeat(lo, n) + np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)]
+    at, of_at = riders["at"][r].astype(np.int64), riders["of_at"][r].astype(np.int64)
+    out = np.empty(len(r), SPAN)
+    out["doc"] = riders["doc"][r]
+    out["at"] = at + np.maximum(x["at"].astype(np.int64) - of_at, 0)
+    out["to"] = at + np.minimum(x["to"].astype(np.int64) - of_at, length[r])
+    return out
 
 
 def union_of(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

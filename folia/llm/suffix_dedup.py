@@ -11,44 +11,47 @@ from pyspark.sql import functions as F
 
 from folia.llm.bwt import merge_shards
 from folia.llm.common import bytes_of, materialize, row_slices
-from folia.llm.spans import PLACE, ROUTED, SPAN, blobs, bucket_count, buffered, by_bucket, joined, mixed, numbered, per_doc, settle, spans_of, to_docs, union_of
+from folia.llm.spans import BUFFER, PLACE, RIDER, SPAN, blobs, bucket_count, by_bucket, chained, each_bucket, joined, mixed, numbered, packed_spans, per_doc, ridden, to_docs, union_of, witnesses
 
 #: Bytes of the k-grams that anchor strings; at most the string length.
-GRAM = 32
-#: An anchor with more distinct contexts than this is split by the hash of each whole string.
-HOT = 4096
+GRAM = 24
+#: Contexts of one anchor that a task merges; if there are more, each string is an anchor of its own.
+HOT = 1 << 15
 #: Symbols merged at once (so few that the arrays stay in a core's cache), and shards they are dealt to.
 MERGED, SHARDS = 1 << 16, 4
 #: Text bytes looked at in one piece.
 PIECE = 1 << 20
-_M = 0x9FB21C651E98DF25
+_M, _M2 = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 #: A context to be fetched: windows of the strings that start in [at, at + n), under anchor h.
 ASK = np.dtype([("doc", "<i8"), ("h", "<u8"), ("at", "<u4"), ("n", "<u4"), ("hot", "<u4")])
 CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
+ROUTED = "bucket int, places binary, riders binary"
 _OFF = 16  # `check` keeps the anchor's place in its top bits
 
 
 class Powers:
-    """Powers of the multiplier and of its inverse, as many as were ever asked for."""
+    """Powers of a multiplier and of its inverse, as many as were ever asked for."""
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            for name, m in (("up", _M), ("down", pow(_M, -1, 1 << 64))):
+    def get(cls, n: int, multiplier: int) -> tuple[np.ndarray, np.ndarray]:
+        if multiplier not in cls.held or len(cls.held[multiplier][0]) < n:
+            found = []
+            for m in (multiplier, pow(multiplier, -1, 1 << 64)):
                 x = np.full(n, m, np.uint64)
                 x[0] = 1
-                setattr(cls, name, np.multiply.accumulate(x))
-        return cls.up[:n], cls.down[:n]
+                found.append(np.multiply.accumulate(x))
+            cls.held[multiplier] = tuple(found)
+        up, down = cls.held[multiplier]
+        return up[:n], down[:n]
 
 
 class Hashes:
     """Hashes of substrings of one piece of bytes, all from one prefix sum."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = Powers.get(len(data) + 1)
+    def __init__(self, data: np.ndarray, multiplier: int = _M):
+        up, self.down = Powers.get(len(data) + 1, multiplier)
         self.prefix = np.zeros(len(data) + 1, np.uint64)
         np.add.accumulate((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.prefix[1:])
 
@@ -115,14 +118,37 @@ def anchored_places(batch: pa.RecordBatch, length: int, gram: int):
 
 
 def window_places(data: np.ndarray, doc: int, at: int, n: int, length: int) -> np.ndarray:
-    """A place for each of n strings of a context, keyed by its own hash."""
-    h = Hashes(data).every(length)[:n]
-    out = np.empty(len(h), PLACE)
-    out["h"], out["check"], out["doc"], out["at"] = h, mixed(h ^ np.uint64(_M)), doc, at + np.arange(len(h))
+    """A place for each of n strings of a context, each an anchor of its own."""
+    out = np.empty(n, PLACE)
+    out["h"], out["check"], out["doc"], out["at"] = Hashes(data).every(length)[:n], Hashes(data, _M2).every(length)[:n], doc, at + np.arange(n)
     out["to"] = out["at"] + length
     return out
 
 
+def routed(parts, buckets: int):
+    """Places gathered up to BUFFER: two of each key, by bucket of the anchor, and what rides on the second, by bucket of its document."""
+
+    def flush(held):
+        places, riders = witnesses(np.concatenate(held))
+        of = (places["h"] % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(of, kind="stable")
+        places, at = places[order], np.searchsorted(of[order], np.arange(buckets + 1))
+        used = np.flatnonzero(np.diff(at))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([places[at[k] : at[k + 1]].tobytes() for k in used], pa.binary()), pa.nulls(len(used), pa.binary())], names=["bucket", "places", "riders"])
+        out = to_docs(riders, buckets, "riders", "of")
+        yield pa.RecordBatch.from_arrays([out.column("bucket"), pa.nulls(out.num_rows, pa.binary()), out.column("riders")], names=["bucket", "places", "riders"])
+
+    held, n = [], 0
+    for x in parts:
+        held.append(x)
+        n += len(x)
+        if n >= BUFFER:
+            yield from flush(held)
+            held, n = [], 0
+    if n:
+        yield from flush(held)
+
+
 def merged_repeats(contexts: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
     """Spans of the strings in these contexts that start earlier in another of them.
 
@@ -172,18 +198,132 @@ def merged_repeats(contexts: np.ndarray, texts: list[bytes], length: int) -> np.
     return np.concatenate(found) if found else np.zeros(0, SPAN)
 
 
+def repeats_below(docs: DataFrame, places: DataFrame, buckets: int, length: int, hot: int | None) -> DataFrame:
+    """(bucket, spans) of all repeated strings, from the rows of routed()."""
+
+    def settled(batches):
+        """What to fetch, and riders: level 0 on a place of one buffer, level 1 on a second place of all."""
+        names = ["bucket", "asks", "hot", "riders", "level"]
+
+        def row(records, column, level, key="doc"):
+            out = to_docs(records, buckets, column, key)
+            none, n = pa.nulls(out.num_rows, pa.binary()), out.num_rows
+            return pa.RecordBatch.from_arrays([out.column(0), *[out.column(1) if c == column else none for c in ("asks", "hot", "riders")], pa.array([level] * n, pa.int32())], names=names)
+
+        def flush(held):
+            asks, level0, level1 = (np.concatenate(x) for x in zip(*held, strict=True))
+            common = asks["hot"] == 1
+            for x in (row(asks[~common], "asks", None), row(asks[common], "hot", None), row(level0, "riders", 0, "of"), row(chained(level1), "riders", 1, "of")):
+                if x.num_rows:
+                    yield x
+
+        held, n = [], 0
+        for rows in each_bucket(batches):
+            two, riders = witnesses(np.concatenate([blobs(b.column("places"), PLACE) for b in rows]))
+            fresh = np.flatnonzero(np.r_[True, two["h"][1:] != two["h"][:-1]]) if len(two) else np.zeros(0, int)
+            under = np.diff(np.r_[fresh, len(two)])
+            under = np.repeat(under, under)
+            two, under = two[under > 1], under[under > 1]
+            asks = np.empty(len(two), ASK)
+            asks["doc"], asks["h"], asks["at"], asks["n"], asks["hot"] = two["doc"], two["h"], two["at"], two["to"] - two["at"] - (length - 1), under > hot if hot else 0
+            held.append((asks, np.concatenate([blobs(b.column("riders"), RIDER) for b in rows]), riders))
+            n += sum(map(len, held[-1]))
+            if n >= BUFFER:
+                yield from flush(held)
+                held, n = [], 0
+        if held:
+            yield from flush(held)
+
+    def fetch(batches):
+        """The bytes of contexts, by bucket of the anchor."""
+
+        def flush(records, texts):
+            c = np.concatenate(records)
+            of = (c["h"] % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(of, kind="stable")
+            at = np.searchsorted(of[order], np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(at))
+            blob = [c[order[at[k] : at[k + 1]]].tobytes() for k in used]
+            body = [b"".join(texts[i] for i in order[at[k] : at[k + 1]]) for k in used]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blob, pa.binary()), pa.array(body, pa.binary())], names=["bucket", "contexts", "bodies"])
+
+        records, texts = [], []
+        for b in batches:
+            for doc, text, asked in zip(b.column("doc").to_pylist(), b.column("text"), b.column("asks").to_pylist(), strict=True):
+                data, asks = text.as_buffer().to_pybytes(), np.frombuffer(asked, ASK)
+                c = np.empty(len(asks), CONTEXT)
+                c["h"], c["doc"], c["at"], c["n"] = asks["h"], doc, asks["at"], asks["n"]
+                records.append(c)
+                texts += [data[a : a + k + length - 1] for a, k in zip(asks["at"].tolist(), asks["n"].tolist(), strict=True)]
+                if len(texts) > 1 << 17:
+                    yield flush(records, texts)
+                    records, texts = [], []
+        if texts:
+            yield flush(records, texts)
+
+    def windows(batches):
+        """The strings of contexts, each routed as an anchor of its own."""
+
+        def each():
+            for b in batches:
+                for doc, text, asked in zip(b.column("doc").to_pylist(), b.column("text"), b.column("hot").to_pylist(), strict=True):
+                    data, asks = text.as_buffer().to_pybytes(), np.frombuffer(asked, ASK)
+                    for a, k in zip(asks["at"].tolist(), asks["n"].tolist(), strict=True):
+                        yield window_places(np.frombuffer(data, np.uint8, k + length - 1, a), doc, a, k, length)
+
+        yield from routed(each(), buckets)
+
+    def merged(batches):
+        def each():
+            for rows in each_bucket(batches):
+                contexts, texts = [], []
+                for b in rows:
+                    for c, body in zip(b.column("contexts"), b.column("bodies"), strict=True):
+                        c = np.frombuffer(c.as_buffer(), CONTEXT)
+                        body, at = body.as_buffer().to_pybytes(), np.r_[0, np.cumsum(c["n"].astype(np.int64) + length - 1)]
+                        contexts.append(c)
+                        texts += [body[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                contexts = np.concatenate(contexts)
+                order = np.argsort(contexts["h"], kind="stable")
+                yield merged_repeats(contexts[order], [texts[i] for i in order], length)
+
+        yield from packed_spans(each(), buckets)
+
+    def resolve(batches):
+        def each():
+            for rows in each_bucket(batches):
+                yield ridden(np.concatenate([blobs(b.column("riders"), RIDER) for b in rows]), np.concatenate([blobs(b.column("spans"), SPAN) for b in rows]))
+
+        yield from packed_spans(each(), buckets)
+
+    first = materialize(by_bucket(places, buckets).mapInArrow(settled, "bucket int, asks binary, hot binary, riders binary, level int"), "asks")
+    asked = per_doc(first.filter("asks is not null"), "asks", ASK, buckets)
+    fetched = docs.join(asked, "doc").select("doc", "text", "asks").mapInArrow(fetch, "bucket int, contexts binary, bodies binary")
+    spans = materialize(by_bucket(fetched, buckets).mapInArrow(merged, "bucket int, spans binary"), "repeats")
+    if first.filter("hot is not null").limit(1).count():
+        asked = per_doc(first.filter("hot is not null"), "hot", ASK, buckets)
+        more = docs.join(asked, "doc").select("doc", "text", "hot").mapInArrow(windows, ROUTED)
+        spans = spans.unionByName(repeats_below(docs, more, buckets, length, None))
+    for level in (1, 0):
+        riders = first.filter(f"riders is not null and level = {level}").select("bucket", "riders")
+        both = spans.unionByName(riders, allowMissingColumns=True)
+        spans = spans.unionByName(by_bucket(both, buckets).mapInArrow(resolve, "bucket int, spans binary"))
+    return spans
+
+
 def repeated_strings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Remove every byte covered by a `length`-byte string that also starts earlier.
 
-    1. Each string is anchored at its least k-gram; a run of strings with one anchor is a
-       context. Equal contexts are settled by hash, in the mapper's buffer and then by
-       anchor: all but the first are repeats. This pre-aggregation leaves each distinct
-       context once, and drops those alone under their anchor, which no other string equals.
-    2. The distinct contexts that share an anchor are fetched, dealt to shards, and the
-       shards' Burrows-Wheeler transforms merged; blocks of `length` common symbols are the
-       repeated intervals, of which the first string stays.
-    3. An anchor with more than `hot` contexts is split by the hash of each whole string, so
-       that no task gathers a phrase that a third of all documents have.
+    1. Routing. Each string is anchored at its least k-gram; a run of strings with one anchor
+       is a context. Anchors that two contexts share, equal ones or not, are brought together.
+       Of contexts with equal hashes the first two take part; any other rides on the second
+       one's fate, so that a phrase of a third of all documents is two contexts to a buffer.
+       No hash removes anything.
+    2. Merge. The contexts are fetched and dealt to shards, and the shards' Burrows-Wheeler
+       transforms merged; blocks of `length` common symbols are the repeated intervals, of
+       which the first string stays.
+    3. An anchor with more than `hot` contexts is taken again with each whole string as an
+       anchor of its own, which splits it into as many merges as it has strings.
 
     Earlier is by (id, start). Strings are judged on the input and never cross documents.
 
@@ -194,91 +334,10 @@ def repeated_strings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     docs = numbered(df, id_col, text_col)
     gram = min(gram, length)
-    buckets = bucket_count(docs)
+    buckets = bucket_count(docs, 2)
 
     def places(batches):
-        yield from buffered((x for b in batches for x in anchored_places(b, length, gram)), buckets)
-
-    def settled(batches):
-        held, spans = [], []
-        for b in batches:
-            held.append(blobs(b.column("places"), PLACE))
-            spans.append(blobs(b.column("spans"), SPAN))
-        if not held:
-            return
-        first, late = settle(np.concatenate(held))
-        spans.append(spans_of(late))
-        fresh = np.flatnonzero(np.r_[True, first["h"][1:] != first["h"][:-1]]) if len(first) else np.zeros(0, int)
-        under = np.diff(np.r_[fresh, len(first)])
-        under = np.repeat(under, under)
-        first, under = first[under > 1], under[under > 1]
-        asks = np.empty(len(first), ASK)
-        asks["doc"], asks["h"], asks["at"], asks["n"], asks["hot"] = first["doc"], first["h"], first["at"], first["to"] - first["at"] - (length - 1), under > hot
-        for column, records in (("spans", joined(np.concatenate(spans))), ("asks", asks)):
-            out = to_docs(records, buckets, column)
-            none = pa.nulls(out.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([out.column("bucket"), *[out.column(column) if c == column else none for c in ("spans", "asks")]], names=["bucket", "spans", "asks"])
-
-    def fetch(batches):
-        """Rows of contexts to merge (their bytes beside them) and of places of hot anchors' strings."""
-
-        def flush(records, texts, hot_places):
-            if records:
-                c = np.concatenate(records)
-                of = (c["h"] % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(of, kind="stable")
-                at = np.searchsorted(of[order], np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(at))
-                blob = [c[order[at[k] : at[k + 1]]].tobytes() for k in used]
-                body = [b"".join(texts[i] for i in order[at[k] : at[k + 1]]) for k in used]
-                none = pa.nulls(len(used), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), none, none, pa.array(blob, pa.binary()), pa.array(body, pa.binary())], names=["bucket", "places", "spans", "contexts", "bodies"])
-            if hot_places:
-                r = routed_hot(np.concatenate(hot_places))
-                none = pa.nulls(r.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([*r.columns, none, none], names=["bucket", "places", "spans", "contexts", "bodies"])
-
-        def routed_hot(x):
-            return next(buffered(iter([x]), buckets))
-
-        records, texts, hot_places, n = [], [], [], 0
-        for b in batches:
-            for doc, text, asked in zip(b.column("doc").to_pylist(), b.column("text"), b.column("asks").to_pylist(), strict=True):
-                data = text.as_buffer().to_pybytes()
-                asks = np.frombuffer(asked, ASK)
-                cold = asks[asks["hot"] == 0]
-                c = np.empty(len(cold), CONTEXT)
-                c["h"], c["doc"], c["at"], c["n"] = cold["h"], doc, cold["at"], cold["n"]
-                records.append(c)
-                texts += [data[a : a + k + length - 1] for a, k in zip(cold["at"].tolist(), cold["n"].tolist(), strict=True)]
-                for a, k in zip((h := asks[asks["hot"] == 1])["at"].tolist(), h["n"].tolist(), strict=True):
-                    hot_places.append(window_places(np.frombuffer(data, np.uint8, k + length - 1, a), doc, a, k, length))
-                    n += k
-                n += 4 * len(cold)
-                if n > 1 << 19:
-                    yield from flush(records, texts, hot_places)
-                    records, texts, hot_places, n = [], [], [], 0
-        yield from flush(records, texts, hot_places)
-
-    def merged(batches):
-        contexts, texts, held, spans = [np.zeros(0, CONTEXT)], [], [], []
-        for b in batches:
-            held.append(blobs(b.column("places"), PLACE))
-            spans.append(blobs(b.column("spans"), SPAN))
-            for c, body in zip(b.column("contexts"), b.column("bodies"), strict=True):
-                if c.is_valid:
-                    c = np.frombuffer(c.as_buffer(), CONTEXT)
-                    body, at = body.as_buffer().to_pybytes(), np.r_[0, np.cumsum(c["n"].astype(np.int64) + length - 1)]
-                    contexts.append(c)
-                    texts += [body[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        contexts = np.concatenate(contexts)
-        if held:
-            spans.append(spans_of(settle(np.concatenate(held))[1]))
-        if len(contexts):
-            order = np.argsort(contexts["h"], kind="stable")
-            spans.append(merged_repeats(contexts[order], [texts[i] for i in order], length))
-        if spans:
-            yield to_docs(joined(np.concatenate(spans)), buckets, "spans")
+        yield from routed((x for b in batches for x in anchored_places(b, length, gram)), buckets)
 
     def apply(batches):
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
@@ -295,11 +354,7 @@ def repeated_strings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     rows.append((id_, len(data), gone, runs, kept, hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=names)
 
-    first = by_bucket(docs.select("doc", "text").mapInArrow(places, ROUTED)).mapInArrow(settled, "bucket int, spans binary, asks binary")
-    first = materialize(first, "repeats")
-    asked = per_doc(first.filter("asks is not null"), "asks", ASK)
-    fetched = docs.join(asked, "doc").select("doc", "text", "asks").mapInArrow(fetch, ROUTED + ", contexts binary, bodies binary")
-    second = by_bucket(fetched).mapInArrow(merged, "bucket int, spans binary")
-    spans = per_doc(first.filter("spans is not null").select("bucket", "spans").unionByName(second), "spans", SPAN, joined)
+    found = repeats_below(docs, docs.select("doc", "text").mapInArrow(places, ROUTED), buckets, length, hot)
+    spans = per_doc(found, "spans", SPAN, buckets, joined)
     out = docs.join(spans, "doc", "left").select("id", "text", "spans").mapInArrow(apply, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
