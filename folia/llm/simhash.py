@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,17 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import SEED, materialize, odd_ids, row_slices, shuffle_partitions, whole_row
-from folia.llm.spans import mixed
+from folia.llm.common import SEED, materialize, release, row_slices
+from folia.llm.spans import bucket_count, by_bucket, each_bucket
 
-#: Segments of a fingerprint: the embedding has as many dimensions, each with a count from 0 to BITS // SEGMENTS.
+#: Segments of a fingerprint: the embedding has as many dimensions, each with a count from 0 to BITS // segments.
 BITS, SEGMENTS = 64, 32
+#: Distinct fingerprints beyond which segments of one bit make smaller cells, and as many more records: found are the same links.
+MANY = 1 << 26
 #: Shingles hashed at once.
 SHINGLES = 1 << 18
 #: Pairs compared at once, and records of a grid cell beyond which it is searched point by point.
 PAIRS, DENSE = 1 << 20, 2048
-_COUNT = np.array([bin(x).count("1") for x in range(1 << (BITS // SEGMENTS))], np.uint8)
-_SALT, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 RECORD = np.dtype([("cell", "<u8"), ("print", "<u8"), ("home", "u1")])
 
 
@@ -43,21 +42,13 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
 
 
-def wide_fingerprint(text: bytes, words: int, seed: int, width: int) -> np.ndarray:
-    """width * 64 bits. Bit b is 1 if it is set in over half the hashes, repeats included; no word: 0.
-
-    Words beyond the first take the hashes mixed anew.
-    """
-    n, ones = 0, np.zeros((width, BITS), np.int64)
+def fingerprint(text: bytes, words: int, seed: int) -> int:
+    """64 bits. A bit is 1 if it is set in over half the hashes, repeats included; no word: 0."""
+    n, ones = 0, np.zeros(BITS, np.int64)
     for h in shingle_hashes(text, words, seed):
         n += len(h)
-        for k in range(width):
-            ones[k] += _ones(mixed(h ^ np.uint64(k * _SALT & MASK)) if k else h)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
-
-
-def fingerprint(text: bytes, words: int, seed: int) -> int:
-    return int(wide_fingerprint(text, words, seed, 1)[0])
+        ones += _ones(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, words: int, *, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -72,14 +63,14 @@ def fingerprints(df: DataFrame, words: int, *, id_col: str = "doc_id", text_col:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, print long")
 
 
-def embed(prints: np.ndarray) -> np.ndarray:
-    """The bit count of each segment: an n x SEGMENTS array. Its Manhattan distance is at most the Hamming distance."""
-    width = BITS // SEGMENTS
-    shifts = (np.arange(SEGMENTS) * width).astype(np.uint64)
-    return _COUNT[((prints[:, None] >> shifts) & np.uint64((1 << width) - 1)).astype(np.intp)]
+def embed(prints: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+    """The bit count of each segment: an n x segments array. Its Manhattan distance is at most the Hamming distance."""
+    width = BITS // segments
+    shifts = (np.arange(segments) * width).astype(np.uint64)
+    return np.bitwise_count((prints[:, None] >> shifts) & np.uint64((1 << width) - 1))
 
 
-def grid_records(prints: np.ndarray, radius: int) -> np.ndarray:
+def grid_records(prints: np.ndarray, radius: int, segments: int = SEGMENTS) -> np.ndarray:
     """Where each point meets its neighbours.
 
     Half the dimensions differ by radius // 2 in sum at most, in one half or the other; a cell
@@ -89,7 +80,7 @@ def grid_records(prints: np.ndarray, radius: int) -> np.ndarray:
     """
     if radius // 2 > 1:
         raise ValueError("the grid looks one step away: radius is 3 at most")
-    counts, half, width = embed(prints), SEGMENTS // 2, BITS // SEGMENTS
+    counts, half, width = embed(prints, segments), segments // 2, BITS // segments
     place = (np.uint64(2) ** (np.arange(half, dtype=np.uint64) * np.uint64(width)))[None, :]
     out = []
     for side in range(2):
@@ -125,10 +116,13 @@ class Forest:
             self.parent[p] = x
         return x
 
-    def add(self, a: int, b: int) -> None:
-        if (x := self.root(a)) != (y := self.root(b)):
-            self.parent[max(x, y)] = min(x, y)
-            self.links.append((a, b))
+    def add(self, a: int, b: int) -> bool:
+        """Whether the link joined two trees."""
+        if (x := self.root(a)) == (y := self.root(b)):
+            return False
+        self.parent[max(x, y)] = min(x, y)
+        self.links.append((a, b))
+        return True
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -184,16 +178,17 @@ def link_dense(home: np.ndarray, calling: np.ndarray, radius: int, forest: Fores
             forest.add(x, int(y))
 
 
-def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) between distinct fingerprints within `radius` bits: enough of them to connect all that are linked."""
-    partitions = shuffle_partitions(prints.sparkSession)
-    buckets = 4 * partitions
+def fingerprint_links(prints: DataFrame, radius: int, segments: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints, a table, within `radius` bits: enough of them to connect all that are linked."""
+    segments = segments or (SEGMENTS if prints.count() <= MANY else BITS)
+    # a print makes records in about so many cells as it has segments, of 17 bytes, in each half
+    buckets = bucket_count(prints, 2 * segments)
 
     def route(batches):
         for b in batches:
             points = b.column("print").to_numpy().view(np.uint64)
             for k in range(0, len(points), 1 << 15):
-                r = grid_records(points[k : k + (1 << 15)], radius)
+                r = grid_records(points[k : k + (1 << 15)], radius, segments)
                 of = ((r["cell"] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
                 order = np.argsort(of.astype(np.int32), kind="stable")
                 at = np.searchsorted(of[order], np.arange(buckets + 1))
@@ -201,14 +196,13 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r[order[at[u] : at[u + 1]]].tobytes() for u in used], pa.binary())], names=["bucket", "records"])
 
     def link(batches):
-        held = [np.frombuffer(x.as_buffer(), RECORD) for b in batches for x in b.column("records")]
-        if held:
+        for held in each_bucket(batches):
             forest = Forest()
-            link_cells(np.concatenate(held), radius, forest)
+            link_cells(np.concatenate([np.frombuffer(x.as_buffer(), RECORD) for b in held for x in b.column("records")]), radius, forest)
             pairs = np.array(forest.links, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return prints.mapInArrow(route, "bucket int, records binary").repartition(partitions, "bucket").mapInArrow(link, "a long, b long")
+    return by_bucket(prints.mapInArrow(route, "bucket int, records binary"), buckets).mapInArrow(link, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,10 +220,13 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        links = materialize(small, "links")
+        old, links = links, materialize(small, "links")
+        release(old)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.scratch_folder = links.scratch_folder
+            return out
         before = now
 
 
@@ -256,329 +253,3 @@ def simhash_groups(df: DataFrame, *, words: int = 5, radius: int = 3, id_col: st
     named = named.join(groups, "root").select(F.col("print").alias("of"), "component_id")
     out = rows.join(named, F.col("print") == F.col("of"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: 64-bit words of a wide fingerprint, and bits of the segments that bound its distances.
-WIDE, SEGMENT = 4, 16
-#: Share of the pairs just at the mean bit distance of similarity 0.8 that must share a cell. Distances spread:
-#: of all pairs at 0.8 fewer do, and the fewer the more points there are. similar_groups does not use these cells.
-RECALL = 0.99
-WIDE_RECORD = np.dtype([("cell", "<u8"), ("node", "<i8"), ("print", "<u8", (WIDE,))])
-
-
-def cell_plan(points: int, seed: int) -> np.ndarray:
-    """The bits of each cell: one row a cell. More points need more bits a cell, and so more cells.
-
-    Sets of similarity 0.8 are vectors at an angle of 0.15 of a half turn: so many bits differ.
-    """
-    bits = max(16, math.ceil(math.log2(max(points, 2))) - 6)
-    agree = (1 - math.acos(2 * 0.8 / 1.8) / math.pi) ** bits
-    cells = math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.choice(WIDE * BITS, bits, replace=False) for _ in range(cells)])
-
-
-def wide_records(nodes: np.ndarray, prints: np.ndarray, plan: np.ndarray) -> np.ndarray:
-    """A record for each point and cell: counts of one-bit segments in the cell's place are its key."""
-    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little").astype(np.uint64)
-    out = np.empty((len(plan), len(prints)), WIDE_RECORD)
-    power = np.uint64(2) ** np.arange(plan.shape[1], dtype=np.uint64)
-    for k, place in enumerate(plan):
-        out[k]["cell"] = (bits[:, place] * power).sum(1, dtype=np.uint64) | np.uint64(k << 48)
-        out[k]["node"], out[k]["print"] = nodes, prints
-    return out.ravel()
-
-
-def _segment_counts(prints: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(np.ascontiguousarray(prints).view("<u2")).astype(np.int8)
-
-
-def wide_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
-
-
-def link_wide_cells(r: np.ndarray, radius: int, forest: Forest) -> None:
-    """Links between the points of each cell: bounded by segment counts, decided by bits."""
-    r = r[np.lexsort((r["node"], r["cell"]))]
-    counts, prints, nodes = _segment_counts(r["print"]), r["print"], r["node"].tolist()
-    starts = np.flatnonzero(np.r_[True, r["cell"][1:] != r["cell"][:-1]])
-    sizes = np.diff(np.r_[starts, len(r)])
-    for s, n in zip(starts[sizes > DENSE].tolist(), sizes[sizes > DENSE].tolist(), strict=True):
-        left = np.arange(s, s + n)
-        while len(left):
-            queue, left = [int(left[0])], left[1:]
-            while queue:  # points reached are not compared again
-                x = queue.pop()
-                near = wide_distance(prints[left], prints[x]) <= radius
-                for y in left[near].tolist():
-                    forest.add(nodes[x], nodes[y])
-                    queue.append(y)
-                left = left[~near]
-    small = (sizes > 1) & (sizes <= DENSE)
-    starts, sizes = starts[small], sizes[small]
-    first = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    after = np.repeat(starts + sizes, sizes) - first - 1
-    total, at = np.cumsum(after), 0
-    while at < len(first):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
-        i = np.repeat(first[at:to], after[at:to])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[at:to]) - after[at:to], after[at:to])
-        at = to
-        keep = np.flatnonzero(np.abs(counts[i] - counts[j]).sum(1, dtype=np.int64) <= radius)
-        keep = keep[wide_distance(prints[i[keep]], prints[j[keep]]) <= radius]
-        for a, b in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-            forest.add(nodes[a], nodes[b])
-
-
-#: Tokens of at most so many texts have all their pairs compared at once; larger ones go round by round.
-SMALL, ROUNDS = 64, 6
-#: Texts counted to tell common shingles from rare ones, and the shingles kept of that count.
-SAMPLED, COMMON = 20_000, 1 << 16
-#: A shingle of a text's prefix, and where it stands in the text's order of rare to common.
-TOKEN = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-MEMBER = np.dtype([("id", "<i8"), ("n", "<u4"), ("pos", "<u4")])
-
-
-def shingle_set(text: bytes, words: int, seed: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words, seed)]))
-
-
-def rare_first(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A set's shingles in an order that is the same for all sets: by sampled count (0 if not in common), then by hash."""
-    if not len(common):
-        return s
-    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-    return s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))]
-
-
-def prefix_length(n: int, similarity: float) -> int:
-    """So many first shingles of two sets of this similarity or more, in one order of all, have one in common."""
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-
-
-def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """False where sizes, or what can follow the shared shingle if it is the first, rule a pair out."""
-    na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    most = np.minimum(na - a["pos"], nb - b["pos"])
-    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (most >= similarity / (1 + similarity) * (na + nb) - 1e-9)
-
-
-def token_pairs(m: np.ndarray, label: np.ndarray, similarity: float, turn: int) -> tuple[list[np.ndarray], bool]:
-    """Pairs (a, b) of ids, a < b, of one token's texts in different groups, and whether these are all.
-
-    A large token whose texts are in many groups only has one of them, drawn anew each turn,
-    compared with the rest; in the last turn nothing is left out.
-    """
-    _, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
-    cross = (len(m) ** 2 - int((sizes.astype(np.int64) ** 2).sum())) // 2
-    whole = cross <= SMALL * len(m) or turn >= ROUNDS
-    heads = range(len(m) - 1) if whole else [int(np.argmin(mixed(m["id"].view(np.uint64) ^ np.uint64(turn * _SALT & MASK))))]
-    out = []
-    for k in heads:
-        other = np.arange(k + 1 if whole else 0, len(m))
-        other = other[of[other] != of[k]]
-        other = m[other[may_be_similar(m[np.full(len(other), k)], m[other], similarity)]]["id"]
-        out.append(np.stack([np.minimum(other, m["id"][k]), np.maximum(other, m["id"][k])], 1))
-    return out, whole
-
-
-def pairs_batch(found: list[np.ndarray], left: bool) -> pa.RecordBatch:
-    """Distinct pairs, and a row without a pair if something was left out."""
-    p = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-    a, b = [pa.array(np.r_[p[:, k], np.zeros(int(left), np.int64)], mask=np.r_[np.zeros(len(p), bool), np.ones(int(left), bool)]) for k in (0, 1)]
-    return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
-
-
-def common_shingles(texts: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of a seeded sample of texts have, sorted, and their counts: COMMON of them at most.
-
-    They order shingles, and so decide the work, not the result.
-    """
-    share = min(1.0, SAMPLED / max(1, texts.count()))
-    sample = texts.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-
-    def each(batches):
-        for whole in batches:
-            for b in row_slices(whole):
-                sets = [shingle_set(t.as_buffer().to_pybytes(), words, seed) for t in b.column("text") if t.is_valid]
-                h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    rows = sample.mapInArrow(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
-    return h[(order := np.argsort(h))], n[order]
-
-
-def shared_tokens(points: DataFrame) -> DataFrame:
-    """(token, m, members) of each shingle that the prefixes of several points (id, n, prefix) have."""
-    partitions = shuffle_partitions(points.sparkSession)
-    buckets = 4 * partitions
-
-    def route(batches):
-        for whole in batches:
-            for b in row_slices(whole, "prefix"):
-                held = [np.frombuffer(x.as_buffer(), "<u8") for x in b.column("prefix")]
-                sizes = np.array([len(x) for x in held], np.int64)
-                r = np.empty(int(sizes.sum()), TOKEN)
-                r["token"] = np.concatenate(held)
-                r["id"], r["n"] = np.repeat(b.column("id").to_numpy(), sizes), np.repeat(b.column("n").to_numpy(), sizes)
-                r["pos"] = np.arange(len(r)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                of = (mixed(r["token"]) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(of, kind="stable")
-                at = np.searchsorted(of[order], np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r[order[at[u] : at[u + 1]]].tobytes() for u in used], pa.binary())], names=["bucket", "records"])
-
-    def gather(batches):
-        held = [np.frombuffer(x.as_buffer(), TOKEN) for b in batches for x in b.column("records")]
-        if not held:
-            return
-        r = np.concatenate(held)
-        r = r[np.argsort(r["token"], kind="stable")]
-        cut = np.flatnonzero(np.r_[True, r["token"][1:] != r["token"][:-1]])
-        sizes = np.diff(np.r_[cut, len(r)])
-        cut, sizes = cut[sizes > 1], sizes[sizes > 1]
-        m = np.empty(len(r), MEMBER)
-        for k in MEMBER.names:
-            m[k] = r[k]
-        for k in range(0, len(cut), 10_000):
-            part = slice(k, k + 10_000)
-            members = [m[a : a + n].tobytes() for a, n in zip(cut[part].tolist(), sizes[part].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(r["token"][cut[part]].view(np.int64)), pa.array(sizes[part]), pa.array(members, pa.binary())], names=["token", "m", "members"])
-
-    packed = points.mapInArrow(route, "bucket int, records binary").repartition(partitions, "bucket")
-    return packed.mapInArrow(gather, "token long, m long, members binary")
-
-
-def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have this similarity or more, by the sets themselves."""
-
-    def sets(batches):
-        for whole in batches:
-            for b in row_slices(whole):
-                found = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed).tobytes() for t in b.column("text")]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], names=["id", "shingles"])
-
-    def check(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    named = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
-    held = materialize(texts.join(named, F.col("id") == F.col("of"), "left_semi").mapInArrow(sets, "id long, shingles binary"), "sets")
-    first = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return first.join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-
-
-def set_links(points: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
-    """Links (a, b) between points, each of this similarity or more: enough of them to connect all that are linked.
-
-    Two sets that similar share one of their first shingles in any order common to all. Texts
-    that share one are compared: all pairs where few do, otherwise one text with the rest, and
-    then again among those that are not yet in one group, until no pair across groups is left.
-    """
-    tokens = materialize(shared_tokens(points), "tokens")
-
-    def start(batches):
-        for b in batches:
-            found = []
-            for x in b.column("members"):
-                m = np.frombuffer(x.as_buffer(), MEMBER)
-                found += token_pairs(m, m["id"], similarity, 0)[0]
-            yield pairs_batch(found, False)
-
-    def again(turn):
-        def each(batches):
-            held = [pa.Table.from_batches([b]) for b in batches]
-            if not held:
-                return
-            t = pa.concat_tables(held)
-            token, label = t["token"].to_numpy(), t["label"].to_numpy()
-            m = np.empty(len(token), MEMBER)
-            for k in MEMBER.names:
-                m[k] = t[k].to_numpy()
-            order = np.lexsort((m["id"], token))
-            cut = np.flatnonzero(np.r_[True, np.diff(token[order]) != 0])
-            found, left, n = [], False, 0
-            for k in np.split(order, cut[1:]):
-                pairs, whole = token_pairs(m[k], label[k], similarity, turn)
-                found += pairs
-                left |= not whole
-                n += sum(map(len, pairs))
-                if n >= PAIRS:
-                    found, n = [np.unique(np.concatenate(found), axis=0)], 0
-            yield pairs_batch(found, left)
-
-        return each
-
-    def unpack(batches):
-        for b in batches:
-            for token, x in zip(b.column("token").to_pylist(), b.column("members"), strict=True):
-                m = np.frombuffer(x.as_buffer(), MEMBER)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), token)), *[pa.array(m[k].astype(np.int64)) for k in MEMBER.names]], names=["token", *MEMBER.names])
-
-    pairs = materialize(tokens.select("members").mapInArrow(start, "a long, b long").distinct(), "pairs")
-    links = materialize(similar_pairs(pairs, texts, similarity, words, seed), "links")
-    large = tokens.filter(F.col("m") > 2 * SMALL)  # up to there all pairs have been compared
-    if large.limit(1).count():
-        large = materialize(large.select("token", "members").mapInArrow(unpack, "token long, id long, n long, pos long"), "large")
-        for turn in range(1, ROUNDS + 1):
-            labelled = large.join(components(links), F.col("id") == F.col("node"), "left").select("token", "id", "n", "pos", F.coalesce("root", "id").alias("label"))
-            found = materialize(labelled.repartition(shuffle_partitions(points.sparkSession), "token").mapInArrow(again(turn), "a long, b long").distinct(), "pairs")
-            links = materialize(links.union(similar_pairs(found.filter("a is not null"), texts, similarity, words, seed)), "links")
-            if not found.filter("a is null").limit(1).count():
-                break
-    return links
-
-
-def similar_groups(df: DataFrame, *, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """Groups of rows linked by sets of shingles whose Jaccard similarity is at least `similarity`.
-
-    Shingles as in simhash_groups, each once, by 64 bits of hash. Of texts with one set the
-    least id stands for all. Candidates are texts that share a shingle of their prefixes (see
-    set_links), which every pair of that similarity does, at any number of rows; a candidate
-    is a link only if the sets themselves say so.
-
-    Ids are distinct and not null. Texts without a word have the empty set, and are one group.
-    Returns id and component_id (smallest id of the group) of every row.
-    """
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    common, counts = common_shingles(texts, words, seed)
-
-    def prefixes(batches):
-        for whole in batches:
-            for b in row_slices(whole):
-                keys, sizes, found = [], [], []
-                for t in b.column("text"):
-                    s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed)
-                    keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    sizes.append(len(s))
-                    found.append(rare_first(s, common, counts)[: prefix_length(len(s), similarity)].tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], names=["id", "key", "n", "prefix"])
-
-    rows = materialize(texts.mapInArrow(prefixes, "id long, key binary, n long, prefix binary"), "prefixes")
-    classes = materialize(rows.groupBy("key").agg(F.min("id").alias("least")), "classes")
-    points = rows.join(classes.select("least"), F.col("id") == F.col("least"), "left_semi").select("id", "n", "prefix")
-    links = set_links(points, texts, similarity, words, seed)
-    named = classes.join(components(links), F.col("least") == F.col("node"), "left").select(F.col("key").alias("of"), F.coalesce("root", "least").alias("component_id"))
-    return rows.join(named, F.col("key") == F.col("of")).select(F.col("id").alias(id_col), "component_id")
-
-
-def one_of_each_group(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df of which each is the one with the smallest id in its group, unchanged.
-
-    Of rows with one id, or of a group without ids, one stays. Columns are passed on whatever
-    their names. Groups and options are those of similar_groups.
-    """
-    if odd_ids(df, id_col):
-        rows = df.orderBy(F.col(id_col).asc_nulls_last()).select(F.monotonically_increasing_id().alias("id"), F.col(text_col).alias("text"), whole_row(df).alias("row"))
-        rows = materialize(rows, "rows")
-    else:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), whole_row(df).alias("row"))
-    groups = similar_groups(rows.select("id", "text"), id_col="id", text_col="text", **options)
-    return rows.join(groups.filter("id = component_id").select("id"), "id", "left_semi").select("row.*")
