@@ -11,35 +11,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folia.llm.common import row_slices
-from folia.llm.spans import PLACE, ROUTED, SPAN, blobs, bucket_count, buffered, by_bucket, joined, mixed, numbered, per_doc, settle, spans_of, to_docs, union_of
+from folia.llm.spans import PLACE, ROUTED, SPAN, blobs, bucket_count, buffered, by_bucket, each_bucket, joined, mixed, numbered, packed_spans, per_doc, settle, spans_of, union_of
 
 #: A run is at least so many sentences, and goes on until it also has so many words.
 SENTENCES = 3
 WORDS = 15
-#: A sentence, or clause of a long one, ends after these marks and white space, or at a line end.
-_END = re.compile(rb"[.!?,;:]+[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
+#: A sentence of more words is read clause by clause.
+LONG = 25
+# A sentence ends after these marks and white space, or at a line end; a clause after commas and the like.
+_END, _CLAUSE = re.compile(rb"[.!?]+[ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*"), re.compile(rb"[,;:]+[ \t\r\x0b\x0c]+")
 # Beyond ASCII: marks of Arabic, Ethiopic and the ellipsis need white space as well, which may be a wide one; East Asian marks and dandas need none.
 _SPACE = r"[ \t\r\x0b\x0c\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
-_WIDE = r"[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61\uff64\u0964\u0965]"
-_ANY_END = re.compile(rf"[.!?,;:\u2026\u060c\u061b\u061f\u06d4\u1361-\u1368]+{_SPACE}+|{_WIDE}+[.!?,;:]*{_SPACE}*|{_SPACE}*[\n\u0085\u2028\u2029]\s*")
+_WIDE_END, _WIDE_CLAUSE = r"[\u3002\uff01\uff0e\uff1f\uff61\u0964\u0965]", r"[\u3001\uff0c\uff1a\uff1b\uff64]"
+_ANY_END = re.compile(rf"[.!?\u2026\u061f\u06d4\u1362\u1367\u1368]+{_SPACE}+|{_WIDE_END}+[.!?]*{_SPACE}*|{_SPACE}*[\n\u0085\u2028\u2029]\s*")
+_ANY_CLAUSE = re.compile(rf"[,;:\u060c\u061b\u1361\u1363-\u1366]+{_SPACE}+|{_WIDE_CLAUSE}+[,;:]*{_SPACE}*")
 # Scripts without spaces: kana, ideographs.
 _UNSPACED = re.compile(r"[\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 _M1, _M2 = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 
 
-def sentence_bounds(data: bytes) -> list[int]:
+def _cut(text, end: re.Pattern, clause: re.Pattern, most: int) -> list[int]:
+    """Ends of sentences, and of clauses in those of more than `most` words, kana or ideographs."""
+    ends, at = [], 0
+    for to in [*[m.end() for m in end.finditer(text)], len(text)]:
+        part = text[at:to]
+        if len(part) > most and (len(part.split()) > most or (isinstance(part, str) and len(_UNSPACED.findall(part)) > most)):
+            ends += [at + m.end() for m in clause.finditer(part) if m.end() < len(part)]
+        if to > at:
+            ends.append(to)
+        at = to
+    return ends
+
+
+def sentence_bounds(data: bytes, most: int = LONG) -> list[int]:
     """0, the ends of all sentences, and the length of the text; each end includes what separates."""
     if data.isascii():
-        ends = [m.end() for m in _END.finditer(data)]
-    else:
-        text, at, place, ends = data.decode("utf-8", "surrogateescape"), 0, 0, []
-        for m in _ANY_END.finditer(text):
-            place += len(text[at : m.end()].encode("utf-8", "surrogateescape"))
-            at = m.end()
-            ends.append(place)
-    if not ends or ends[-1] != len(data):
-        ends.append(len(data))
-    return [0, *ends]
+        return [0, *_cut(data, _END, _CLAUSE, most)] if data else [0, 0]
+    text, at, place, out = data.decode("utf-8", "surrogateescape"), 0, 0, [0]
+    for to in _cut(text, _ANY_END, _ANY_CLAUSE, most):
+        place += len(text[at:to].encode("utf-8", "surrogateescape"))
+        at = to
+        out.append(place)
+    return out
 
 
 def sentence_runs(data: bytes, sentences: int, words: int, long: int | None = None) -> tuple[np.ndarray, ...]:
@@ -90,9 +103,9 @@ def sentence_span_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     From each sentence on, the shortest run of at least `sentences` sentences and `words`
     words is hashed. Of the places of one hash in all documents the first, by (id, place),
-    stays; the sentences of all other places go. Sentences end at .!?,;: before white space,
-    at the like marks of other scripts and at line ends, so that a long sentence counts as its
-    clauses. With `long`, runs are also taken back from the end of each sentence, a sentence
+    stays; the sentences of all other places go. Sentences end at .!? before white space, at the
+    like marks of other scripts and at line ends; one of over 25 words is read as its clauses,
+    which end at ,;: and the like, because a passage's cut ends lie within such sentences. With `long`, runs are also taken back from the end of each sentence, a sentence
     of that many words is a run of its own, and a text too short for any run is one as a whole.
 
     Mappers settle repeats inside their own buffers and send one place of each hash; a hash
@@ -120,13 +133,12 @@ def sentence_span_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str
         yield from buffered(each(), buckets)
 
     def repeats(batches):
-        held, spans = [], []
-        for b in batches:
-            held.append(blobs(b.column("places"), PLACE))
-            spans.append(blobs(b.column("spans"), SPAN))
-        if held:
-            spans.append(spans_of(settle(np.concatenate(held))[1]))
-            yield to_docs(joined(np.concatenate(spans)), buckets, "spans")
+        def each():
+            for held in each_bucket(batches):
+                yield np.concatenate([blobs(b.column("spans"), SPAN) for b in held])
+                yield spans_of(settle(np.concatenate([blobs(b.column("places"), PLACE) for b in held]))[1])
+
+        yield from packed_spans(each(), buckets)
 
     def apply(batches):
         for whole in batches:
@@ -147,6 +159,6 @@ def sentence_span_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["id", "text", "n_sentences", "n_removed"])
 
     routed = docs.select("doc", "text").mapInArrow(places, ROUTED)
-    packed = by_bucket(routed).mapInArrow(repeats, "bucket int, spans binary")
-    out = docs.join(per_doc(packed, "spans", SPAN, joined), "doc", "left").select("id", "text", "spans").mapInArrow(apply, "id long, text string, n_sentences long, n_removed long")
+    packed = by_bucket(routed, buckets).mapInArrow(repeats, "bucket int, spans binary")
+    out = docs.join(per_doc(packed, "spans", SPAN, buckets, joined), "doc", "left").select("id", "text", "spans").mapInArrow(apply, "id long, text string, n_sentences long, n_removed long")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_sentences", "n_removed")
