@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,16 +24,52 @@ def sequence_cost(length: int) -> float:
     return length * (1 + length / 16384) + 256
 
 
-def best_fit(sizes: list[int], lengths: tuple[int, ...], first: int) -> tuple[list[list[int]], list[int]]:
+class Left:
+    """The sizes of items not packed yet, by size."""
+
+    def __init__(self, sizes: list[int]):
+        self.counts = Counter(sizes)
+        self.sizes = sorted(self.counts)
+
+    def take(self, size: int) -> None:
+        self.counts[size] -= 1
+        if not self.counts[size]:
+            self.sizes.pop(bisect_left(self.sizes, size))
+
+    def fill(self, room: int) -> int:
+        """What of the room the largest items that fit, one after the other, would leave."""
+        k = bisect_right(self.sizes, room)
+        while k and room >= self.sizes[0]:
+            size = self.sizes[k - 1]
+            room -= size * min(room // size, self.counts[size])
+            k = bisect_right(self.sizes, room, 0, k - 1)
+        return room
+
+
+def least_cost(size: int, lengths: tuple[int, ...], left: Left) -> int:
+    """The length to open for an item: that of the least cost per word, once filled from what is left and cut down to its contents."""
+    best = None
+    for length in lengths[bisect_left(lengths, size) :]:
+        held = length - left.fill(length - size)
+        cost = sequence_cost(lengths[bisect_left(lengths, held)]) / held
+        if best is None or cost < best[0]:
+            best = cost, length
+    return best[1]
+
+
+def best_fit(sizes: list[int], lengths: tuple[int, ...], first: int | None = None) -> tuple[list[list[int]], list[int]]:
     """Best-fit decreasing: each item goes to the open bin that it fills best; else it opens a bin.
 
-    A new bin has the length `first`, or the least length that holds the item if that is
-    longer. sizes come in falling order. Returns each bin's items, and what each bin holds.
+    A new bin has the length of the least cost (see least_cost), or, if given, the length
+    `first`, or the least length that holds the item if that is longer. sizes come in falling
+    order. Returns each bin's items, and what each bin holds.
     """
     bins, used = [], []
     waiting: list[list[int]] = [[] for _ in range(max(lengths) + 1)]  # open bins by room left
     rooms: list[int] = []  # the rooms for which there are any, in order
+    left = Left(sizes)
     for item, size in enumerate(sizes):
+        left.take(size)
         k = bisect_left(rooms, size)
         if k < len(rooms):
             room = rooms[k]
@@ -40,7 +77,8 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...], first: int) -> tuple[li
             if not waiting[room]:
                 rooms.pop(k)
         else:
-            bin_, room = len(bins), first if first >= size else lengths[bisect_left(lengths, size)]
+            bin_ = len(bins)
+            room = least_cost(size, lengths, left) if first is None else first if first >= size else lengths[bisect_left(lengths, size)]
             bins.append([])
             used.append(0)
         bins[bin_].append(item)
@@ -53,13 +91,14 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...], first: int) -> tuple[li
 
 
 def pack(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[list[int]], list[int], list[int]]:
-    """Items, contents and capacities of the bins: the cheapest of the packings that open each permitted length.
+    """Items, contents and capacities of the bins: all lengths are opened side by side, each where it costs least.
 
-    The length of the least cost per word is tried first and wins ties. In every packing, each bin is at last
-    cut down to the least permitted length that holds its contents, before costs are compared.
+    Packings that open one length throughout are tried as well, and the cheapest of all is kept (the joint one, in a
+    tie): a choice bin by bin sees what is left, not how later bins will share it. In every packing, each bin
+    is at last cut down to the least permitted length that holds its contents, before costs are compared.
     """
     best = None
-    for first in sorted(lengths, key=lambda c: sequence_cost(c) / c):
+    for first in (None, *sorted(lengths, key=lambda c: sequence_cost(c) / c)):
         bins, used = best_fit(sizes, lengths, first)
         caps = [lengths[bisect_left(lengths, u)] for u in used]
         cost = sum(map(sequence_cost, caps))
@@ -72,10 +111,10 @@ def pack_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Pack whole documents, measured in words, into sequences of several permitted lengths.
 
     A document longer than the longest length is cut into pieces of that length and a rest.
-    Rows are dealt by a hash of their id to groups of about group_rows (by row number, should
-    ids be so repeated that a group comes out four times as large), and each group is packed
-    on its own: groups stay that large however many rows there are, and the loss to their
-    last bins is one in thousands.
+    Rows are dealt by a hash of their id and text to groups of about group_rows (repeated rows
+    by their number as well, so that they spread), and each group is packed on its own: groups
+    stay that large however many rows there are, and the loss to their last bins is one in
+    thousands. Rerun or dealt otherwise over partitions, the same rows come out.
 
     Returns a row for each piece: bin_id, capacity, used (of the bin), doc_id, piece, start
     (in the document), length, offset (in the bin). Null, empty and blank texts have no words
@@ -83,13 +122,12 @@ def pack_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows. Other columns are ignored, whatever their names.
     """
     lengths = tuple(sorted(set(lengths)))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sized = with_word_counts(rows, "text", "size", ["doc_id"]).filter("size > 0").withColumn("row", F.monotonically_increasing_id())
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("of"))
+    sized = with_word_counts(rows, "text", "size", ["doc_id", "of"]).filter("size > 0").groupBy("doc_id", "of", "size").agg(F.count(F.lit(1)).alias("copies"))
     sized = materialize(sized, "sizes")
-    groups = max(1, -(-sized.count() // group_rows))
-    by_id = F.pmod(F.xxhash64("doc_id"), F.lit(groups))
-    largest = sized.groupBy(by_id.alias("g")).count().agg(F.max("count")).first()[0] or 0
-    group = by_id if largest <= 4 * group_rows else F.pmod(F.xxhash64("row"), F.lit(groups))
+    groups = max(1, -(-(sized.agg(F.sum("copies")).first()[0] or 0) // group_rows))
+    sized = sized.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    group = F.pmod(F.xxhash64("doc_id", "of", "copy"), F.lit(groups))
 
     def each(key, part):  # no hints: Spark would read them
         longest, group = lengths[-1], key[0].as_py()
