@@ -13,6 +13,9 @@ from folia.llm.spans import mixed
 
 #: Buckets of hashed n-grams, and the n-grams added to each, in both models, at the size of the target sample.
 BUCKETS, SMOOTHING = 1 << 16, 10.0
+#: A document weighs as this many n-grams at most: the n-grams of one text are not independent, and as a plain
+#: sum the weights of all but the shortest texts would lie so far apart that no draw could change their order.
+EFFECTIVE = 32
 #: Labelled rows that the target model is fitted on at most: those first in a seeded order.
 TARGET_ROWS = 20_000
 _M = 0x9FB21C651E98DF25
@@ -27,8 +30,9 @@ _CLASS[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]]
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and document of every token and every pair of neighbouring tokens.
 
-    A token is a run of word characters or a run of marks, in lower case. All pairs of one
-    token with itself share a bucket.
+    A token is a run of word characters or a run of marks, in lower case. All pairs of a token
+    with itself share a bucket: a text that says one word over and over is told by that,
+    whatever the word.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -57,8 +61,10 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _weights(batch: pa.RecordBatch, ratio: np.ndarray) -> np.ndarray:
+    """The log ratio of each text's probabilities, tempered: its mean over n-grams, EFFECTIVE times at most."""
     bucket, doc = ngrams(*bytes_of(batch.column("text")))
-    return np.bincount(doc, ratio[bucket], minlength=batch.num_rows)
+    n = np.maximum(np.bincount(doc, minlength=batch.num_rows), 1)
+    return np.bincount(doc, ratio[bucket], minlength=batch.num_rows) / n * np.minimum(n, EFFECTIVE)
 
 
 def fit_ratio(docs: DataFrame, target: DataFrame) -> np.ndarray:
@@ -141,10 +147,11 @@ def fit_selection(
 
     The target model is fitted on every other of at most target_rows good labelled rows, taken
     in a seeded order; the raw model on all rows of df. A row's importance weight is the ratio
-    of its n-grams' probabilities under the two. The rest of the labelled rows set the size
-    of the sample: k is the number of rows whose weight reaches that of the keep_good share of
-    them (or `rows`, if given). The k rows with the largest log weight plus Gumbel noise are a
-    sample without replacement in proportion to the weights.
+    of its n-grams' probabilities under the two, tempered to EFFECTIVE n-grams. The rest of the
+    labelled rows set the size of the sample: k is the number of rows whose weight reaches that
+    of the keep_good share of them (or `rows`, if given). The k rows with the largest log weight
+    plus Gumbel noise are a sample without replacement in proportion to the weights: rows well
+    above the last one taken are in any sample, those near it come and go with the seed.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = order_key(seed, F.col("id"))
