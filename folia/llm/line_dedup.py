@@ -16,6 +16,7 @@ _PATTERNS = {
     "tag": r"<[^>]*>",
     "host": r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)",
     "space": r"[\x20\x09-\x0D]+",
+    "inside": r"[\x20\x09\x0B-\x0D]+",
 }
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
@@ -29,23 +30,31 @@ def html_lines(html: Column) -> Column:
     """The lines of text of a page: cut at block tags and line ends, white space collapsed, blank lines left out."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), _PATTERNS["hidden"], "")
     text = F.regexp_replace(F.regexp_replace(text, _PATTERNS["block"], "\n"), _PATTERNS["tag"], "")
+    entities = text
     for name, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, _PATTERNS["space"], " ")))
+        entities = F.replace(entities, F.lit(name), F.lit(char))
+    text = F.when(F.contains(text, F.lit("&")), entities).otherwise(text)
+    # white space inside lines, once for the whole text; then what is left of it at their ends
+    lines = F.transform(F.split(F.regexp_replace(text, _PATTERNS["inside"], " "), "\n"), lambda x: F.trim(x))
     return F.filter(lines, lambda x: x != "")
 
 
-def _key(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
-
-
 def _same(line: Column) -> Column:
     """What of a line is compared: not the white space around it."""
-    return F.trim(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def drop_site_lines(df: DataFrame, host: Column, lines: Column, *, ratio: float, min_pages: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Drop lines that more than `ratio` of a host's pages contain, and at least min_pages of them.
+def _key(line: Column) -> Column:
+    """128 bits of hash, as text: arrays of it are searched by hashing."""
+    return F.concat(F.hex(F.xxhash64(line)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), line)))
+
+
+def drop_site_lines(df: DataFrame, host: Column, lines: Column, *, ratio: float, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Drop lines that more than `ratio` of a host's other pages contain.
+
+    A line that n of a host's pages have goes if (n - 1) / (pages - 1) is over the ratio: of the pages
+    beside any one that has it, the share that has it as well. On a large host that is n / pages;
+    on a small one a line of one page is never boilerplate, and there is no floor of pages.
 
     A line counts once a page, by 128 bits of hash of its trimmed text; blank lines are never
     dropped. Counts are pre-aggregated before the shuffle, so that a line of a third of all
@@ -58,36 +67,47 @@ def drop_site_lines(df: DataFrame, host: Column, lines: Column, *, ratio: float,
     rows count as pages of their own. Empty table: no rows.
     """
     rows = df.select(whole_row(df).alias("row"), host.alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
-    seen = rows.select("host", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: _same(x) != ""), lambda x: _key(_same(x))))).alias("line"))
+    keys = F.transform(F.filter(F.transform("lines", _same), lambda x: x != ""), _key)
+    seen = rows.select("host", F.explode(F.array_distinct(keys)).alias("line"))
     totals = df.select(host.alias("of_host")).groupBy("of_host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    often = counts.join(totals, F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("n") > F.col("pages") * ratio)
+    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    often = counts.join(totals, F.col("host").eqNullSafe(F.col("of_host"))).filter(F.col("n") - 1 > (F.col("pages") - 1) * ratio)
     lists = materialize(often.groupBy("host").agg(F.collect_list("line").alias("drop")).select(F.col("host").alias("drop_host"), "drop"), "site-lines")
-    entries, hosts = lists.agg(F.sum(F.size("drop")), F.count(F.lit(1))).first()
+    size = lists.agg(F.sum(64 * F.size("drop") + 64 + F.coalesce(F.octet_length("drop_host"), F.lit(0)))).first()[0]
     same_host = F.col("host").eqNullSafe(F.col("drop_host"))
-    if 16 * (entries or 0) + 64 * hosts <= broadcast_bytes:
+    if (size or 0) <= broadcast_bytes:
         joined = rows.join(F.broadcast(lists), same_host, "left")
     else:
         lists = lists.withColumn("drop_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("lines"), F.lit(SALTS)).cast("int"))
         joined = salted.join(lists, same_host & (F.col("salt") == F.col("drop_salt")), "left")
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("drop", _key(_same(x)))))
+    # what a page has of its host's list is found by hashing, and is short: only that is searched for each line
+    joined = joined.withColumn("gone", F.when(F.col("drop").isNotNull(), F.array_intersect(F.transform("lines", lambda x: _key(_same(x))), "drop")))
+    some = F.coalesce(F.size("gone"), F.lit(0)) > 0
+    kept = F.when(some, F.filter("lines", lambda x: ~F.array_contains("gone", _key(_same(x))))).otherwise(F.col("lines"))
     joined = joined.select("row", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept_lines"))
     return joined.select("row", "kept_lines", "n_lines", (F.col("n_lines") - F.size("kept_lines")).alias("n_dropped"))
 
 
-def dedup_page_lines(pages: DataFrame, *, ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def dedup_page_lines(pages: DataFrame, *, ratio: float = 0.05) -> DataFrame:
     """page_id, host, text without site lines, n_lines, n_dropped of every page (page_id, url, html).
 
     Pages are taken apart once; counting and dropping both read the lines from the shared folder.
+    Null url, or one that names no host: the host is empty, and all such pages are one host. Null or
+    empty html: empty text, 0 lines. Repeated rows, and repeated or null ids, are pages of their own.
+    Empty table: no rows. Other columns are ignored, whatever their names.
     """
     parsed = materialize(pages.select("page_id", url_host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("lines")), "lines")
-    cleaned = drop_site_lines(parsed, F.col("host"), F.col("lines"), ratio=ratio, min_pages=min_pages)
+    cleaned = drop_site_lines(parsed, F.col("host"), F.col("lines"), ratio=ratio)
     return cleaned.select("row.page_id", "row.host", F.array_join("kept_lines", "\n").alias("text"), "n_lines", "n_dropped")
 
 
-def dedup_document_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
-    """The rows of docs with their text less the lines that over `ratio` of a source's documents share. Null text stays null."""
-    cleaned = drop_site_lines(docs, F.col(host_col), F.split(text_col, "\n"), ratio=ratio, min_pages=min_pages)
+def dedup_document_lines(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = 0.05) -> DataFrame:
+    """The rows of docs with their text less the lines that over `ratio` of a source's other documents share.
+
+    Null text stays null, and empty text empty. A null source is a source of its own. Repeated
+    rows are documents of their own. Empty table: no rows. Columns are passed on whatever their names.
+    """
+    cleaned = drop_site_lines(docs, F.col(host_col), F.split(text_col, "\n"), ratio=ratio)
     text = F.when(F.col(f"row.{text_col}").isNotNull(), F.array_join("kept_lines", "\n"))
     return cleaned.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

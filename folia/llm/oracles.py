@@ -36,7 +36,7 @@ def _replaced() -> str:
 OP3 = f"""WITH p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{_PATTERNS["host"]}', 1)) AS host,
   list_filter(list_transform(string_split({_replaced()}, chr(10)), lambda x: trim(regexp_replace(x, '{_PATTERNS["space"]}', ' ', 'g'))), lambda x: x <> '') AS lines FROM pages),
 hosts AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-often AS (SELECT host, line FROM (SELECT host, pages, unnest(list_distinct(lines)) AS line FROM p JOIN hosts USING (host)) GROUP BY host, line HAVING count(*) >= 5 AND count(*) > 0.05 * any_value(pages)),
+often AS (SELECT host, line FROM (SELECT host, pages, unnest(list_distinct(lines)) AS line FROM p JOIN hosts USING (host)) GROUP BY host, line HAVING count(*) - 1 > 0.05 * (any_value(pages) - 1)),
 gone AS (SELECT host, list(line) AS gone FROM often GROUP BY host),
 k AS (SELECT page_id, p.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept FROM p LEFT JOIN gone USING (host))
 SELECT page_id, host, array_to_string(kept, chr(10)) AS text, cast(len(lines) as bigint) AS n_lines, cast(len(lines) - len(kept) as bigint) AS n_dropped FROM k"""
