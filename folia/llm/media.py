@@ -73,8 +73,10 @@ class ArchiveSource(DataSource):
     Read options: path (directories, comma-separated), splitBytes (64 MB: archive bytes a
     partition), batchBytes (4 MB: payload bytes an Arrow batch), retries (3: reads of one
     member), onError ("fail", or "report" to give a row with null media and the error).
-    Write options: path, archiveBytes (256 MB), archiveMembers (50 000), level (1); written
-    rows are (member string, media binary).
+    An archive that cannot be opened, or has no table of contents, is tried as often; with
+    "report" it gives one row with its name and the error. Write options: path, archiveBytes
+    (256 MB), archiveMembers (50 000), level (1); written rows are (member string, media
+    binary). Appending adds archives beside those that are there; overwriting removes those.
     """
 
     @classmethod
@@ -88,7 +90,7 @@ class ArchiveSource(DataSource):
         return ArchiveReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return ArchiveWriter(dict(self.options))
+        return ArchiveWriter(dict(self.options), overwrite)
 
 
 class ArchiveReader(DataSourceReader):
@@ -133,14 +135,33 @@ class ArchiveReader(DataSourceReader):
                 time.sleep(0.1 * 2**attempt)
         raise OSError("no attempts")
 
+    def contents(self, fs, path: str) -> list[zipfile.ZipInfo]:
+        """The members of an archive, by its table of contents; a failed read is tried again."""
+        for attempt in range(self.retries):
+            try:
+                with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+                    return z.infolist()
+            except (OSError, zipfile.BadZipFile):
+                if attempt + 1 == self.retries:
+                    raise
+                time.sleep(0.1 * 2**attempt)
+        raise OSError("no attempts")
+
     def read(self, partition: ByteRange | None):
         if partition is None:  # no archives at all
             return
-        fs, path = filesystem(partition.archive)
-        with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-            infos = sorted((i for i in z.infolist() if partition.start <= i.header_offset < partition.end), key=lambda i: i.header_offset)
         rows, size, held = [], 0, {}
-        for info in infos:
+        try:
+            fs, path = filesystem(partition.archive)
+            infos = [i for i in self.contents(fs, path) if partition.start <= i.header_offset < partition.end]
+        except (OSError, zipfile.BadZipFile) as e:
+            if not self.report:
+                raise
+            # every range of the archive fails: the first one says so
+            infos = []
+            if partition.start == 0:
+                rows.append((partition.archive, None, None, None, f"{type(e).__name__}: {e}"))
+        for info in sorted(infos, key=lambda i: i.header_offset):
             try:
                 media, error = self.member(fs, path, info, held), None
             except (OSError, zlib.error, NotImplementedError) as e:
@@ -162,12 +183,12 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite, self.job = options["path"].rstrip("/"), overwrite, uuid.uuid4().hex
         self.bytes, self.members, self.level = int(options.get("archivebytes", 256 << 20)), int(options.get("archivemembers", 50_000)), int(options.get("level", 1))
 
     def write(self, iterator) -> Written:
-        """Archives under temporary names, unique to the attempt; commit gives those of the attempts that count their names."""
+        """Archives under temporary names, unique to the attempt; commit gives those of the attempts that count their names, unique to the job."""
         from pyspark import TaskContext
 
         fs, inner = filesystem(self.path)
@@ -179,8 +200,8 @@ class ArchiveWriter(DataSourceArrowWriter):
                     if z is not None:
                         z.close()
                         sink.close()
-                    temporary = f"_{uuid.uuid4().hex}"
-                    files.append((temporary, f"part-{task:06d}-{len(files):04d}.zip"))
+                    temporary = f"_{self.job}-{uuid.uuid4().hex}"
+                    files.append((temporary, f"part-{self.job}-{task:06d}-{len(files):04d}.zip"))
                     sink = fs.open_output_stream(f"{inner}/{temporary}")
                     z, size = zipfile.ZipFile(_Out(sink), "w", zipfile.ZIP_DEFLATED, compresslevel=self.level), 0
                 z.writestr(zipfile.ZipInfo(name), data := media.as_buffer().to_pybytes(), zipfile.ZIP_DEFLATED, self.level)
@@ -193,19 +214,23 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, inner = filesystem(self.path)
         fs.create_dir(inner, recursive=True)
+        before = [f for f in fs.get_file_info(pafs.FileSelector(inner)) if f.is_file and f.base_name.endswith(".zip")]
         for m in messages:
             for temporary, name in m.files if m else ():
                 fs.move(f"{inner}/{temporary}", f"{inner}/{name}")
-        for f in fs.get_file_info(pafs.FileSelector(inner)):
-            if f.base_name.startswith("_"):  # of attempts that failed or came second
-                fs.delete_file(f.path)
+        for f in before if self.overwrite else ():
+            fs.delete_file(f.path)
+        self.clear(fs, inner)
 
     def abort(self, messages) -> None:
         fs, inner = filesystem(self.path)
-        for m in messages:
-            for temporary, _ in m.files if m else ():
-                if fs.get_file_info(f"{inner}/{temporary}").is_file:
-                    fs.delete_file(f"{inner}/{temporary}")
+        self.clear(fs, inner)
+
+    def clear(self, fs, inner: str) -> None:
+        """Remove what attempts of this job that failed or came second have left."""
+        for f in fs.get_file_info(pafs.FileSelector(inner, allow_not_found=True)):
+            if f.base_name.startswith(f"_{self.job}-"):
+                fs.delete_file(f.path)
 
 
 class _Out(io.RawIOBase):
