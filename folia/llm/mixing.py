@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from folia.llm.common import SEED, materialize, maybe_broadcast, order_key, whole_row, with_word_counts
 
-#: Hex digits of the order key that name a slice of a source: 16 ** 3 slices.
-SLICE_DIGITS = 3
+#: Hex digits of the order key that name a slice of a source: 16 ** 4 slices.
+SLICE_DIGITS = 4
 
 
 def water_fill(sources: DataFrame, budget_share: float, max_epochs: float, weights: list[float]) -> DataFrame:
@@ -76,7 +76,7 @@ def mix_sources(
     the last of them in part, so that a source's taken words are its target rounded down.
     No source comes above max_epochs, nor any row above the next whole epoch.
 
-    The seeded order of a source is cut into 4096 slices; only their totals are summed, and
+    The seeded order of a source is cut into 65,536 slices; only their totals are summed, and
     only the slice in which the rest runs out is ordered row by row, so that a source with a
     third of all rows is never sorted in one task.
 
@@ -95,7 +95,9 @@ def mixed_rows(
     """The mix itself: every row of df as often as mix_sources takes it, with its columns.
 
     A row taken in part has the first words of its text, one space between them. Rows without
-    words are not in the mix.
+    words, null and empty texts among them, are not in the mix. A null source is a source of its
+    own, ordered last. Repeated rows count, and are repeated, one by one; rows with null ids are
+    rows like others. Empty table: no rows. Columns are passed on whatever their names.
     """
     sized = materialize(_sized(df, id_col, text_col, source_col, seed, False), "sizes")
     rows = _taken(_sized(df, id_col, text_col, source_col, seed, True), _quotas(sized, budget_share, max_epochs, weights)).filter("taken > 0")
