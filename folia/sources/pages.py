@@ -19,34 +19,35 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 NODES = "item_id string, id string, parent_node_id string, node_path string, pos int, depth int, tag string, attrs map<string,string>, raw string, node_type string"
 
 
+#: The tag of the root that every page has: what its markup has on top lies below it.
+ROOT = "page"
+
+
 class _Tree(HTMLParser):
-    """Elements in document order; an end tag closes all that is open inside it, one without a start is skipped."""
+    """Elements in document order, below one root; an end tag closes all that is open inside it, one without a start is skipped."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[list] = []  # tag, path, children
-        self.rows: list[tuple] = []
+        self.open: list[list] = [[ROOT, f"/{ROOT}[1]", 0]]  # tag, path, children
+        self.rows: list[tuple] = [(f"/{ROOT}[1]", None, 1, 0, ROOT, {}, "")]
 
     def handle_starttag(self, tag, attrs):
-        if self.open:
-            self.open[-1][2] += 1
-        elif self.rows:
-            return  # a second root is not part of the tree
-        parent = self.open[-1] if self.open else None
-        pos = parent[2] if parent else 1
-        path = f"{parent[1] if parent else ''}/{tag}[{pos}]"
-        self.rows.append((path, parent[1] if parent else None, pos, len(self.open), tag, {k: v or "" for k, v in attrs}, (self.get_starttag_text() or "")[:RAW_MOST]))
+        parent = self.open[-1]
+        parent[2] += 1
+        path = f"{parent[1]}/{tag}[{parent[2]}]"
+        self.rows.append((path, parent[1], parent[2], len(self.open), tag, {k: v or "" for k, v in attrs}, (self.get_starttag_text() or "")[:RAW_MOST]))
         if tag not in VOID:
             self.open.append([tag, path, 0])
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
+        for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 del self.open[k:]
                 return
 
 
 def page_nodes(html: str | None) -> list[tuple]:
+    """(path, parent's path, position, depth, tag, attributes, raw) of all elements; a page without any, or null, has its root alone."""
     parser = _Tree()
     parser.feed(html or "")
     parser.close()

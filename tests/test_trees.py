@@ -1,12 +1,13 @@
 """Random trees and predicates against a plain evaluator."""
 
 import random
+import re
 
 import pytest
 
 from folia.engine import Engine
 from folia.plans.library import Library
-from folia.sources.pages import page_library, page_nodes
+from folia.sources.pages import VOID, page_library, page_nodes
 
 TAGS, SPELLINGS = ("A", "B", "Proposition", "C-Term"), ("x", "y")
 
@@ -115,9 +116,43 @@ def test_set_laws(world):
     assert engine.query(f"({nodes}) or ({nodes})").count() == engine.query(nodes).count()
 
 
+def plain_tree(html):
+    """(path, depth) of all elements, by cutting the text at tags and keeping a stack of lists."""
+    root = ["page", []]
+    stack = [root]
+    for end, tag in re.findall(r"<(/?)([a-z0-9]+)[^>]*>", html):
+        if not end:
+            node = [tag, []]
+            stack[-1][1].append(node)
+            if tag not in VOID:
+                stack.append(node)
+        elif tag in [n[0] for n in stack[1:]]:
+            while stack.pop()[0] != tag:
+                pass
+    out = []
+
+    def walk(node, path, depth):
+        out.append((path, depth))
+        for k, child in enumerate(node[1], 1):
+            walk(child, f"{path}/{child[0]}[{k}]", depth + 1)
+
+    walk(root, "/page[1]", 0)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_page_trees_keep_all_elements(seed):
+    rng = random.Random(seed)
+    tags = ("div", "p", "b", "br", "img", "li", "section")
+    html = "".join(rng.choice(("<{}>", "<{} class='x'>", "</{}>", "</{}>", "text ")).format(rng.choice(tags)) for _ in range(60))
+    assert [(r[0], r[3]) for r in page_nodes(html)] == plain_tree(html)
+
+
 def test_pages_as_trees(spark):
-    assert [r[0] for r in page_nodes("<html><p>a<br>b<p>c</html>")] == ["/html[1]", "/html[1]/p[1]", "/html[1]/p[1]/br[1]", "/html[1]/p[1]/p[2]"]
-    assert page_nodes(None) == []
-    pages = spark.createDataFrame([(1, "http://a.b/x", "<div><p class='k'>t</p></div>"), (2, None, None)], "page_id long, url string, html string")
+    assert [r[0] for r in page_nodes("<html><p>a<br>b<p>c</html>")] == ["/page[1]", "/page[1]/html[1]", "/page[1]/html[1]/p[1]", "/page[1]/html[1]/p[1]/br[1]", "/page[1]/html[1]/p[1]/p[2]"]
+    # nothing is lost after the first element on top, nor after one that has no content
+    assert [r[0] for r in page_nodes("<br><div>a</div><p>b</p>")] == ["/page[1]", "/page[1]/br[1]", "/page[1]/div[2]", "/page[1]/p[3]"]
+    assert [r[0] for r in page_nodes(None)] == ["/page[1]"]
+    pages = spark.createDataFrame([(1, "http://a.b/x", "<div><p class='k'>t</p></div>"), (2, None, None), (3, "http://a.b/y", "<img><hr><div><p class='k'></p></div>")], "page_id long, url string, html string")
     engine = Engine(spark, page_library(pages))
-    assert [r.lib_id for r in engine.query("list of theorem where item has Div/P[class='k']").collect()] == ["P1"]
+    assert sorted(r.lib_id for r in engine.query("list of theorem where item has Div/P[class='k']").collect()) == ["P1", "P3"]
