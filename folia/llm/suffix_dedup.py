@@ -19,13 +19,18 @@ GRAM = 24
 HOT = 1 << 15
 #: Symbols merged at once (so few that the arrays stay in a core's cache), and shards they are dealt to.
 MERGED, SHARDS = 1 << 16, 4
-#: Text bytes looked at in one piece.
-PIECE = 1 << 20
+#: Text bytes looked at in one piece; strings of a pair that are merged together.
+PIECE, TILE = 1 << 20, 1 << 10
+#: Bytes of asks up to which they are broadcast to the texts.
+BROADCAST_BYTES = 32 << 20
 _M, _M2 = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
-#: A context to be fetched: windows of the strings that start in [at, at + n), under anchor h.
-ASK = np.dtype([("doc", "<i8"), ("h", "<u8"), ("at", "<u4"), ("n", "<u4"), ("hot", "<u4")])
+#: Bytes to be fetched. Of kind CONTEXT_ASK for the merge under anchor h; WINDOWS_ASK, each string as an anchor of its
+#: own; PAIR_ASK, for the merge with what stands in document `of` at of_at.
+ASK = np.dtype([("doc", "<i8"), ("at", "<u4"), ("to", "<u4"), ("of", "<i8"), ("of_at", "<u4"), ("h", "<u8"), ("kind", "u1")])
+CONTEXT_ASK, WINDOWS_ASK, PAIR_ASK = 0, 1, 2
 CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u4")])
-ROUTED = "bucket int, places binary, riders binary"
+ROUTED = "bucket int, places binary, riders binary, contexts binary, bodies binary"
+FOUND = "bucket int, spans binary, asks binary, riders binary, level int"
 _OFF = 16  # `check` keeps the anchor's place in its top bits
 
 
@@ -125,18 +130,30 @@ def window_places(data: np.ndarray, doc: int, at: int, n: int, length: int) -> n
     return out
 
 
+def rows_of(used: list, **columns) -> pa.RecordBatch:
+    """A row of ROUTED for each bucket."""
+    none = pa.nulls(len(used), pa.binary())
+    names = ["bucket", "places", "riders", "contexts", "bodies"]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[columns.get(c, none) for c in names[1:]]], names=names)
+
+
+def by_anchor(records: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket of the anchor, where each bucket begins in it, and the buckets that there are."""
+    of = (records["h"] % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    at = np.searchsorted(of[order], np.arange(buckets + 1))
+    return order, at, np.flatnonzero(np.diff(at))
+
+
 def routed(parts, buckets: int):
     """Places gathered up to BUFFER: two of each key, by bucket of the anchor, and what rides on the second, by bucket of its document."""
 
     def flush(held):
         places, riders = witnesses(np.concatenate(held))
-        of = (places["h"] % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(of, kind="stable")
-        places, at = places[order], np.searchsorted(of[order], np.arange(buckets + 1))
-        used = np.flatnonzero(np.diff(at))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([places[at[k] : at[k + 1]].tobytes() for k in used], pa.binary()), pa.nulls(len(used), pa.binary())], names=["bucket", "places", "riders"])
+        order, at, used = by_anchor(places, buckets)
+        yield rows_of(used, places=pa.array([places[order[at[k] : at[k + 1]]].tobytes() for k in used], pa.binary()))
         out = to_docs(riders, buckets, "riders", "of")
-        yield pa.RecordBatch.from_arrays([out.column("bucket"), pa.nulls(out.num_rows, pa.binary()), out.column("riders")], names=["bucket", "places", "riders"])
+        yield rows_of(out.column("bucket").to_pylist(), riders=out.column("riders"))
 
     held, n = [], 0
     for x in parts:
@@ -149,6 +166,58 @@ def routed(parts, buckets: int):
         yield from flush(held)
 
 
+def asks_of(places: np.ndarray, length: int, hot: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """What to fetch of the places of a bucket, and what rides on it.
+
+    Of places with one key the first two are a pair, each asked for the merge with the other.
+    The first places of different keys under one anchor are asked for the anchor's merge.
+    """
+    two, riders = witnesses(places)
+    if not len(two):
+        return np.zeros(0, ASK), riders
+    fresh = np.r_[True, (two["h"][1:] != two["h"][:-1]) | (two["check"][1:] != two["check"][:-1])]
+    first = two[fresh]
+    anchor = np.flatnonzero(np.r_[True, first["h"][1:] != first["h"][:-1]])
+    under = np.diff(np.r_[anchor, len(first)])
+    under = np.repeat(under, under)
+    first, under = first[under > 1], under[under > 1]
+    second = np.flatnonzero(~fresh)
+    asks = np.zeros(len(first) + 2 * len(second), ASK)
+    for k in ("doc", "at", "to", "h"):
+        asks[k][: len(first)] = first[k]
+    asks["kind"][: len(first)] = np.where(under > hot, WINDOWS_ASK, CONTEXT_ASK) if hot else CONTEXT_ASK
+    for part, mine, other in ((asks[len(first) : len(first) + len(second)], second - 1, second), (asks[len(first) + len(second) :], second, second - 1)):
+        for k in SPAN.names:
+            part[k] = two[k][mine]
+        part["of"], part["of_at"], part["kind"] = two["doc"][other], two["at"][other], PAIR_ASK
+    return asks, riders
+
+
+def tiles(pairs: np.ndarray, length: int) -> np.ndarray:
+    """Contexts of a document's pairs: runs of pairs with one document at one distance, cut every TILE strings.
+
+    Both documents of a pair make the same cuts, and name each by the same anchor.
+    """
+    r = np.empty(len(pairs), RIDER)
+    for k in RIDER.names:
+        r[k] = pairs[k]
+    r = chained(r)
+    n = r["to"].astype(np.int64) - r["at"] - (length - 1)
+    pieces_ = -(-n // TILE)
+    k = np.repeat(np.arange(len(r)), pieces_)
+    off = (np.arange(len(k)) - np.repeat(np.cumsum(pieces_) - pieces_, pieces_)) * TILE
+    out = np.empty(len(k), CONTEXT)
+    out["doc"], out["at"], out["n"] = r["doc"][k], r["at"][k] + off, np.minimum(TILE, n[k] - off)
+    mine, other = (r["doc"], r["at"].astype(np.int64)), (r["of"], r["of_at"].astype(np.int64))
+    swap = (r["doc"] > r["of"]) | ((r["doc"] == r["of"]) & (r["at"] > r["of_at"]))
+    key = off.astype(np.uint64)
+    for x, y in zip(mine, other, strict=True):
+        for z in (np.where(swap, y, x), np.where(swap, x, y)):
+            key = mixed(key ^ z[k].astype(np.uint64)) * np.uint64(_M2)
+    out["h"] = key
+    return out
+
+
 def merged_repeats(contexts: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
     """Spans of the strings in these contexts that start earlier in another of them.
 
@@ -156,6 +225,8 @@ def merged_repeats(contexts: np.ndarray, texts: list[bytes], length: int) -> np.
     rotations with `length` leading symbols in common is a repeated interval: its first
     string stays.
     """
+    if not texts:
+        return np.zeros(0, SPAN)
     found = []
     used = np.zeros(257, bool)
     used[0] = True
@@ -181,6 +252,9 @@ def merged_repeats(contexts: np.ndarray, texts: list[bytes], length: int) -> np.
             members.append(np.repeat(own, np.diff(starts)))
             offsets.append(np.arange(len(symbols)) - np.repeat(starts[:-1], np.diff(starts)))
         shard, at, block = merge_shards(shards, length)
+        twin = np.r_[False, block[1:] == block[:-1]]
+        twin[:-1] |= twin[1:]
+        shard, at, block = shard[twin], at[twin], block[twin]
         base = np.cumsum([0, *[len(m) for m in members]])[:-1][shard] + at
         who, off = np.concatenate(members)[base], np.concatenate(offsets)[base]
         keep = off < contexts["n"][who]
@@ -188,7 +262,7 @@ def merged_repeats(contexts: np.ndarray, texts: list[bytes], length: int) -> np.
         start, doc = contexts["at"][who] + off, contexts["doc"][who]
         order = np.lexsort((start, doc, block))
         start, doc, block = start[order], doc[order], block[order]
-        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
         first = np.repeat(first, np.diff(np.r_[first, len(block)]))
         late = (doc != doc[first]) | (start != start[first])
         out = np.empty(late.sum(), SPAN)
@@ -198,116 +272,112 @@ def merged_repeats(contexts: np.ndarray, texts: list[bytes], length: int) -> np.
     return np.concatenate(found) if found else np.zeros(0, SPAN)
 
 
-def repeats_below(docs: DataFrame, places: DataFrame, buckets: int, length: int, hot: int | None) -> DataFrame:
-    """(bucket, spans) of all repeated strings, from the rows of routed()."""
+def repeats_below(docs: DataFrame, rows: DataFrame, buckets: int, length: int, hot: int | None) -> DataFrame:
+    """(bucket, spans) of all repeated strings, from the rows of routed(): settle, fetch, merge, and again for hot anchors."""
+
+    def search(hot: int | None):
+        """Of each bucket: what its places ask for and what rides on them, and the repeats in its contexts.
 
-    def settled(batches):
-        """What to fetch, and riders: level 0 on a place of one buffer, level 1 on a second place of all."""
-        names = ["bucket", "asks", "hot", "riders", "level"]
+        Riders are of level 0 on a place of one buffer, of level 1 on a second place of all.
+        """
 
         def row(records, column, level, key="doc"):
             out = to_docs(records, buckets, column, key)
             none, n = pa.nulls(out.num_rows, pa.binary()), out.num_rows
-            return pa.RecordBatch.from_arrays([out.column(0), *[out.column(1) if c == column else none for c in ("asks", "hot", "riders")], pa.array([level] * n, pa.int32())], names=names)
+            return pa.RecordBatch.from_arrays([out.column(0), *[out.column(1) if c == column else none for c in ("spans", "asks", "riders")], pa.array([level] * n, pa.int32())], names=["bucket", "spans", "asks", "riders", "level"])
 
         def flush(held):
-            asks, level0, level1 = (np.concatenate(x) for x in zip(*held, strict=True))
-            common = asks["hot"] == 1
-            for x in (row(asks[~common], "asks", None), row(asks[common], "hot", None), row(level0, "riders", 0, "of"), row(chained(level1), "riders", 1, "of")):
+            spans, asks, level0, level1 = (np.concatenate(x) for x in zip(*held, strict=True))
+            for x in (row(joined(spans), "spans", None), row(asks, "asks", None), row(level0, "riders", 0, "of"), row(chained(level1), "riders", 1, "of")):
                 if x.num_rows:
                     yield x
 
-        held, n = [], 0
-        for rows in each_bucket(batches):
-            two, riders = witnesses(np.concatenate([blobs(b.column("places"), PLACE) for b in rows]))
-            fresh = np.flatnonzero(np.r_[True, two["h"][1:] != two["h"][:-1]]) if len(two) else np.zeros(0, int)
-            under = np.diff(np.r_[fresh, len(two)])
-            under = np.repeat(under, under)
-            two, under = two[under > 1], under[under > 1]
-            asks = np.empty(len(two), ASK)
-            asks["doc"], asks["h"], asks["at"], asks["n"], asks["hot"] = two["doc"], two["h"], two["at"], two["to"] - two["at"] - (length - 1), under > hot if hot else 0
-            held.append((asks, np.concatenate([blobs(b.column("riders"), RIDER) for b in rows]), riders))
-            n += sum(map(len, held[-1]))
-            if n >= BUFFER:
+        def each(batches):
+            held, n = [], 0
+            for of_bucket in each_bucket(batches):
+                asks, riders = asks_of(np.concatenate([blobs(b.column("places"), PLACE) for b in of_bucket]), length, hot)
+                contexts, texts = [np.zeros(0, CONTEXT)], []
+                for b in of_bucket:
+                    for c, body in zip(b.column("contexts"), b.column("bodies"), strict=True):
+                        if c.is_valid:
+                            c = np.frombuffer(c.as_buffer(), CONTEXT)
+                            body, at = body.as_buffer().to_pybytes(), np.r_[0, np.cumsum(c["n"].astype(np.int64) + length - 1)]
+                            contexts.append(c)
+                            texts += [body[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                contexts = np.concatenate(contexts)
+                order = np.argsort(contexts["h"], kind="stable")
+                spans = merged_repeats(contexts[order], [texts[i] for i in order], length)
+                held.append((spans, asks, np.concatenate([blobs(b.column("riders"), RIDER) for b in of_bucket]), riders))
+                n += sum(map(len, held[-1]))
+                if n >= BUFFER:
+                    yield from flush(held)
+                    held, n = [], 0
+            if held:
                 yield from flush(held)
-                held, n = [], 0
-        if held:
-            yield from flush(held)
+
+        return each
 
     def fetch(batches):
-        """The bytes of contexts, by bucket of the anchor."""
+        """The bytes of contexts by bucket of the anchor, and the strings of hot anchors' contexts as places of their own."""
 
         def flush(records, texts):
             c = np.concatenate(records)
-            of = (c["h"] % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(of, kind="stable")
-            at = np.searchsorted(of[order], np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(at))
+            order, at, used = by_anchor(c, buckets)
             blob = [c[order[at[k] : at[k + 1]]].tobytes() for k in used]
             body = [b"".join(texts[i] for i in order[at[k] : at[k + 1]]) for k in used]
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blob, pa.binary()), pa.array(body, pa.binary())], names=["bucket", "contexts", "bodies"])
+            return rows_of(used, contexts=pa.array(blob, pa.binary()), bodies=pa.array(body, pa.binary()))
 
-        records, texts = [], []
+        records, texts, windows, n = [], [], [], 0
         for b in batches:
             for doc, text, asked in zip(b.column("doc").to_pylist(), b.column("text"), b.column("asks").to_pylist(), strict=True):
                 data, asks = text.as_buffer().to_pybytes(), np.frombuffer(asked, ASK)
-                c = np.empty(len(asks), CONTEXT)
-                c["h"], c["doc"], c["at"], c["n"] = asks["h"], doc, asks["at"], asks["n"]
+                plain = asks[asks["kind"] == CONTEXT_ASK]
+                c = np.empty(len(plain), CONTEXT)
+                c["h"], c["doc"], c["at"], c["n"] = plain["h"], doc, plain["at"], plain["to"] - plain["at"] - (length - 1)
+                c = np.concatenate([c, tiles(asks[asks["kind"] == PAIR_ASK], length)])
                 records.append(c)
-                texts += [data[a : a + k + length - 1] for a, k in zip(asks["at"].tolist(), asks["n"].tolist(), strict=True)]
-                if len(texts) > 1 << 17:
+                texts += [data[a : a + k + length - 1] for a, k in zip(c["at"].tolist(), c["n"].tolist(), strict=True)]
+                for x in asks[asks["kind"] == WINDOWS_ASK]:
+                    a, k = int(x["at"]), int(x["to"] - x["at"]) - (length - 1)
+                    windows.append(window_places(np.frombuffer(data, np.uint8, k + length - 1, a), doc, a, k, length))
+                    n += k
+                if len(texts) > 1 << 16:
                     yield flush(records, texts)
                     records, texts = [], []
+                if n >= BUFFER:
+                    yield from routed(iter(windows), buckets)
+                    windows, n = [], 0
         if texts:
             yield flush(records, texts)
-
-    def windows(batches):
-        """The strings of contexts, each routed as an anchor of its own."""
-
-        def each():
-            for b in batches:
-                for doc, text, asked in zip(b.column("doc").to_pylist(), b.column("text"), b.column("hot").to_pylist(), strict=True):
-                    data, asks = text.as_buffer().to_pybytes(), np.frombuffer(asked, ASK)
-                    for a, k in zip(asks["at"].tolist(), asks["n"].tolist(), strict=True):
-                        yield window_places(np.frombuffer(data, np.uint8, k + length - 1, a), doc, a, k, length)
-
-        yield from routed(each(), buckets)
-
-    def merged(batches):
-        def each():
-            for rows in each_bucket(batches):
-                contexts, texts = [], []
-                for b in rows:
-                    for c, body in zip(b.column("contexts"), b.column("bodies"), strict=True):
-                        c = np.frombuffer(c.as_buffer(), CONTEXT)
-                        body, at = body.as_buffer().to_pybytes(), np.r_[0, np.cumsum(c["n"].astype(np.int64) + length - 1)]
-                        contexts.append(c)
-                        texts += [body[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                contexts = np.concatenate(contexts)
-                order = np.argsort(contexts["h"], kind="stable")
-                yield merged_repeats(contexts[order], [texts[i] for i in order], length)
-
-        yield from packed_spans(each(), buckets)
+        yield from routed(iter(windows), buckets)
 
     def resolve(batches):
         def each():
-            for rows in each_bucket(batches):
-                yield ridden(np.concatenate([blobs(b.column("riders"), RIDER) for b in rows]), np.concatenate([blobs(b.column("spans"), SPAN) for b in rows]))
+            for of_bucket in each_bucket(batches):
+                yield ridden(np.concatenate([blobs(b.column("riders"), RIDER) for b in of_bucket]), np.concatenate([blobs(b.column("spans"), SPAN) for b in of_bucket]))
 
         yield from packed_spans(each(), buckets)
 
-    first = materialize(by_bucket(places, buckets).mapInArrow(settled, "bucket int, asks binary, hot binary, riders binary, level int"), "asks")
-    asked = per_doc(first.filter("asks is not null"), "asks", ASK, buckets)
-    fetched = docs.join(asked, "doc").select("doc", "text", "asks").mapInArrow(fetch, "bucket int, contexts binary, bodies binary")
-    spans = materialize(by_bucket(fetched, buckets).mapInArrow(merged, "bucket int, spans binary"), "repeats")
-    if first.filter("hot is not null").limit(1).count():
-        asked = per_doc(first.filter("hot is not null"), "hot", ASK, buckets)
-        more = docs.join(asked, "doc").select("doc", "text", "hot").mapInArrow(windows, ROUTED)
-        spans = spans.unionByName(repeats_below(docs, more, buckets, length, None))
-    for level in (1, 0):
-        riders = first.filter(f"riders is not null and level = {level}").select("bucket", "riders")
-        both = spans.unionByName(riders, allowMissingColumns=True)
-        spans = spans.unionByName(by_bucket(both, buckets).mapInArrow(resolve, "bucket int, spans binary"))
+    def found_in(rows: DataFrame, name: str, hot: int | None) -> DataFrame:
+        return materialize(by_bucket(rows, buckets).mapInArrow(search(hot), FOUND), name)
+
+    def fetched(found: DataFrame) -> DataFrame:
+        asked = per_doc(found.filter("asks is not null"), "asks", ASK, buckets)
+        size = found.agg(F.sum(F.octet_length("asks"))).first()[0] or 0
+        return docs.join(F.broadcast(asked) if size <= BROADCAST_BYTES else asked, "doc").select("doc", "text", "asks").mapInArrow(fetch, ROUTED)
+
+    rounds = [found_in(rows, "asks", hot)]
+    for name, limit in (("repeats", None), ("hot-repeats", None)):
+        if rounds[-1].filter("asks is not null").limit(1).count():
+            rounds.append(found_in(fetched(rounds[-1]), name, limit))
+    spans = None
+    for found in reversed(rounds):
+        of_round = found.filter("spans is not null").select("bucket", "spans")
+        spans = of_round if spans is None else spans.unionByName(of_round)
+        for level in (1, 0):
+            riders = found.filter(f"riders is not null and level = {level}").select("bucket", "riders")
+            both = spans.unionByName(riders, allowMissingColumns=True)
+            spans = spans.unionByName(by_bucket(both, buckets).mapInArrow(resolve, "bucket int, spans binary"))
     return spans
 
 
@@ -315,13 +385,13 @@ def repeated_strings(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Remove every byte covered by a `length`-byte string that also starts earlier.
 
     1. Routing. Each string is anchored at its least k-gram; a run of strings with one anchor
-       is a context. Anchors that two contexts share, equal ones or not, are brought together.
-       Of contexts with equal hashes the first two take part; any other rides on the second
-       one's fate, so that a phrase of a third of all documents is two contexts to a buffer.
-       No hash removes anything.
-    2. Merge. The contexts are fetched and dealt to shards, and the shards' Burrows-Wheeler
-       transforms merged; blocks of `length` common symbols are the repeated intervals, of
-       which the first string stays.
+       is a context. Of contexts with equal hashes the first two are a pair; any other rides on
+       the second one's fate, so that a phrase of a third of all documents is two contexts to a
+       buffer. Pairs that follow each other in two documents make one long string in each.
+       Different contexts under one anchor are brought together. No hash removes anything.
+    2. Merge. The strings of pairs, and the contexts of each anchor, are fetched and dealt to
+       shards, and the shards' Burrows-Wheeler transforms merged; blocks of `length` common
+       symbols are the repeated intervals, of which the first string stays.
     3. An anchor with more than `hot` contexts is taken again with each whole string as an
        anchor of its own, which splits it into as many merges as it has strings.
 
