@@ -88,7 +88,7 @@ class Engine:
 
     def syntax(self) -> dict:
         """The words of the language, and the tags and attributes that the library has."""
-        tags = [r[0] for r in self.library.nodes.select("tag").distinct().orderBy("tag").limit(1000).collect()]
+        tags = [r[0] for r in self.library.nodes.select("tag").distinct().orderBy("tag").collect()]  # as many as the markup has names
         return {"keywords": sorted(KEYWORDS), "attributes": sorted(ATTRIBUTE_KEYS), "nodes": tags, "operators": ["and", "or", "butnot", "not", "|"]}
 
 

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.engine import Engine
+from folia.plans.library import Library, items_sharing_refs
 from folia.plans.paging import PageRequest
+from folia.plans.projection import project
+from folia.sources.ingest import attribute_count, backfilled, tag_diagnostics
 from folia.sources.pages import page_library
+from folia.sources.stararticles import EXPECTED, ingested_star, shown
 from folia.sources.starschema import star_library, star_tables
 
 ITEM = ("item_id", "lib_id", "article_name", "kind", "subkind", "node_type", "text_content")
@@ -296,8 +300,64 @@ def pages_where_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, page_library(pages)).query("list of statement where item has \"Article/P/B\" and item has not A[href='/the']").select(*ITEM)
 
 
+def _ingested(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _libraries:
+            _libraries[key] = ingested_star(spark, sf_dir)
+        return shown(_libraries[key], name)
+
+    return run
+
+
+def node_types_backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node types as migration gives them to nodes that have none."""
+    return backfilled(engine(spark, sf_dir).library).item_node.select("id", "node_type")
+
+
+def items_sharing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with a reference to one of the constructors that part 8 refers to."""
+    return items_sharing_refs(engine(spark, sf_dir).library, "p:8", 1).select("item_id", "shared")
+
+
+def attributes_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribute_count(engine(spark, sf_dir).library).select("item_id", "attributes")
+
+
+def tags_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_diagnostics(engine(spark, sf_dir).library).select("tag", "n")
+
+
+def projected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    return project(e.library, e.query("list of definition")).select(*_TABLE)
+
+
+def projected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    return project(e.library, e.query("list of statement in NATION_2 | nodes Attribute[nonocc='true']")).select(*_TABLE)
+
+
+_TABLE = ("item_id", "node_id", "lib_id", "article_name", "node_type", "text_position", "spelling", "raw")
+# Of what is not asked in the query language: the function, and SQL over the derived tables.
+_OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "node_types_backfilled": (node_types_backfilled, """SELECT n.id, CASE WHEN depth > 0 THEN 'no_nodes' WHEN i.kind = 'registration' THEN 'registrations' WHEN statement_kind IN ('def', 'dfs') THEN 'definitions'
+        WHEN statement_kind = 'sch' THEN 'schemes' WHEN statement_kind = 'th' THEN 'theorems' ELSE 'no_nodes' END AS node_type FROM flat_node n JOIN mml_item i ON i.id = n.item_id LEFT JOIN statement s ON s.item_id = n.item_id"""),
+    "items_sharing_references": (items_sharing_references, """SELECT item_id, count(DISTINCT constructor_item_id) AS shared FROM item_constructor_ref
+        WHERE constructor_item_id IN (SELECT constructor_item_id FROM item_constructor_ref WHERE item_id = 'p:8') AND item_id <> 'p:8' GROUP BY item_id"""),
+    "attributes_by_item": (attributes_by_item, """SELECT item_id, cast(sum((a_kind IS NOT NULL)::int + (a_xmlid IS NOT NULL)::int + (a_position IS NOT NULL)::int + (a_spelling IS NOT NULL)::int
+        + (a_nonocc IS NOT NULL)::int + (a_occurs IS NOT NULL)::int + (a_number IS NOT NULL)::int) as bigint) AS attributes FROM flat_node GROUP BY item_id"""),
+    "tags_by_frequency": (tags_by_frequency, "SELECT tag, count(*) AS n FROM flat_node GROUP BY tag ORDER BY n DESC, tag LIMIT 25"),
+    "projected_items": (projected_items, """SELECT vd.item_id, cast(NULL as string) AS node_id, lib_id, article_name, vd.node_type, a_position AS text_position, cast(NULL as string) AS spelling, '<Item>' AS raw
+        FROM vd JOIN flat_node n ON n.item_id = vd.item_id AND depth = 0"""),
+    "projected_nodes": (projected_nodes, """SELECT item_id, node_id, lib_id, article_name, node_type, text_position, spelling, raw_text AS raw FROM nr WHERE t = 'attribute' AND a_nonocc = 'true' AND article_name = 'NATION_2'"""),
+}
+_libraries: dict[tuple, Library] = {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _run(n) for n in _QUERIES} | {f"view_{n}": _view(n) for n in _VIEWS} | {n: _page(n) for n in _PAGES} | {"pages_where_path": pages_where_path}
+    found = {n: _run(n) for n in _QUERIES} | {f"view_{n}": _view(n) for n in _VIEWS} | {n: _page(n) for n in _PAGES} | {n: f for n, (f, _) in _OTHERS.items()}
+    return found | {n: _ingested(n) for n in EXPECTED} | {"pages_where_path": pages_where_path}
 
 
 #: Tables that many parts of a statement read, and that are small: made once.
@@ -319,4 +379,5 @@ def statement(sql: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     found = {n: sql for n, (_, _, sql) in _QUERIES.items()} | {f"view_{n}": sql for n, (_, _, sql) in _VIEWS.items()} | {n: sql for n, (*_, sql) in _PAGES.items()}
-    return {n: statement(sql) for n, sql in found.items() if sql}
+    found |= {n: sql for n, (_, sql) in _OTHERS.items()}
+    return {n: statement(sql) for n, sql in found.items() if sql} | {n: sql for n, (_, sql) in EXPECTED.items()}

@@ -17,12 +17,13 @@ PATTERN_TAGS = {
     "Attribute-Pattern", "Mode-Pattern", "Predicate-Pattern", "Structure-Pattern", "SelectorFunctor-Pattern", "InfixFunctor-Pattern", "CircumfixFunctor-Pattern", "ForgetfulFunctor-Pattern",
     "AggregateFunctor-Pattern", "Strict-Pattern",
 }
+# Registrations, notations and statements by their tags.
 REGISTRATION_KINDS = {"existential-registration": "exreg", "functorial-registration": "funcreg", "conditional-registration": "condreg"}
 _NOTATION_KINDS = (("attribute", "attrnot"), ("strict", "attrnot"), ("mode", "modenot"), ("predicate", "prednot"), ("selector", "selnot"), ("structure", "structnot"), ("aggregate", "aggrnot"))
 _SUBKINDS = (("definition", "def"), ("scheme", "sch"), ("theorem", "th"), ("registration", "condreg"), ("statement", "th"))
-#: Most characters of a node's raw text, and of the character data in it.
+#: Most characters of a node's raw text, and of the character data in it.
 RAW_MOST, TEXT_MOST = 512, 256
-#: Added to numbers taken from xmlids, and to positions in the file, so that they cannot meet others.
+#: Added to numbers taken from xmlids, and to positions in the file, so that they cannot meet others.
 FROM_XMLID, FROM_PLACE = 1_000_000, 2_000_000
 
 
@@ -40,6 +41,8 @@ class Item:
     raw_xml: str | None
     statement_kind: str | None = None
     parent_lib_id: str | None = None
+    constructor: str | None = None
+    origin: str | None = None
     symbols: list[str] = field(default_factory=list)
     formats: list[str] = field(default_factory=list)
     nodes: list[dict] = field(default_factory=list)
@@ -177,7 +180,7 @@ def _distinct(values) -> list[str]:
 
 
 def notations(e: ET.Element, article: str, parent: str | None) -> Iterator[Item]:
-    """Patterns with a library id, inside an item that defines something."""
+    """Patterns with a library id, inside an item that defines something, and the constructors that they name as theirs."""
     for p in e.iter():
         name = p.get("absolutepatternMMLId") or p.get("MMLId")
         if local(p) in PATTERN_TAGS and name and name.strip():
@@ -186,8 +189,11 @@ def notations(e: ET.Element, article: str, parent: str | None) -> Iterator[Item]
             below = [x for x in p.iter() if x is not p]
             symbols = _distinct([own, *[x.get("spelling") for x in below if "symbol" in local(x).lower()]])
             number = _digits(p.get("xmlid")) or _digits(name.rpartition(":")[2])
+            constructor, origin = [(p.get(k) or "").strip() or None for k in ("absoluteconstrMMLId", "absoluteorigconstrMMLId")]
             yield Item(article, "notation", kind, number, f"pattern:{name}:{(p.get('xmlid') or '').strip() or local(p)}", own or None, string_value(p), markup(p),
-                       parent_lib_id=parent, symbols=symbols, formats=_distinct(x.get("formatnr") for x in below))
+                       parent_lib_id=parent, constructor=constructor, origin=origin, symbols=symbols, formats=_distinct(x.get("formatnr") for x in below))
+            if constructor:
+                yield Item(article, "constructor", kind.removesuffix("not"), _digits(constructor.rpartition(":")[2]), constructor, own or None, own or None, markup(p), parent_lib_id=parent, origin=origin)
 
 
 def registrations(e: ET.Element, article: str) -> Iterator[Item]:

@@ -10,7 +10,8 @@ from folia.functions.expressions import holds
 from folia.plans.library import Library
 from folia.plans.names import QueryError
 from folia.sources import esx
-from folia.sources.ingest import attribute_count, backfilled_types, ingest, latest_run, resolve_references, tag_diagnostics
+from folia.sources import ingest as ingest_module
+from folia.sources.ingest import STATISTICS, attribute_count, backfilled_types, ingest, latest_run, resolve_references, run_log, tag_diagnostics
 
 FIXTURE = Path(__file__).parent / "fixtures" / "demo_1.esx"
 
@@ -120,14 +121,82 @@ def test_unchanged_files_are_not_parsed_again(spark, target):
     assert latest_run(spark, path)["generation"] == 2
 
 
+def article(k, more=""):
+    return f"""<Text-Proper articleid="ART_{k}"><Item kind="Definition-Item" xmlid="d{k}"><Definition-Item MMLId="ART_{k}:def 1"><Attribute-Definition>
+      <Attribute-Pattern absolutepatternMMLId="ART_{k}:1" absoluteconstrMMLId="ART_{k}:attr 1" absoluteorigconstrMMLId="ART_{k - 1}:attr 1" spelling="w{k}" formatnr="2" xmlid="a{k}"/></Attribute-Definition></Definition-Item></Item>
+      <Item kind="Theorem-Item" xmlid="t{k}"><Theorem-Item MMLId="ART_{k}:1"><Proposition><Attribute absoluteconstrMMLId="ART_{k - 1}:attr 1" nonocc="true"/><Attribute absoluteconstrMMLId="ART_{k}:attr 1"/>{more}</Proposition></Theorem-Item></Item></Text-Proper>"""
+
+
+def test_edges_of_ingested_articles(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "lib")
+    source.mkdir()
+    (source / "a2.esx").write_text(article(2))
+    first = ingest(spark, str(source), target)
+    assert list(first.counts) == list(STATISTICS)
+    assert (first.counts["constructor"], first.counts["constructor_definition"], first.counts["item_constructor_ref"], first.counts["item_node.constructor_item_id"]) == (1, 1, 1, 2)
+    # what an article refers to may come later
+    (source / "a1.esx").write_text(article(1))
+    second = ingest(spark, str(source), target)
+    assert (second.unchanged, second.counts["item_constructor_ref"]) == (1, 3)
+    engine = Engine(spark, Library.load(spark, target))
+    found = lambda q: sorted(r.lib_id for r in engine.query(q).collect())
+    assert found("list of theorem in ART_2 | ref") == ["ART_1:attr 1", "ART_2:attr 1"] and found("list of theorem in ART_2 | ref | origin") == ["ART_1:attr 1"]
+    assert found("list of theorem in ART_2 | ref | definition") == ["statement:ART_1:def 1:d1", "statement:ART_2:def 1:d2"]
+    assert found("list of theorem | wherege(ref, 2)") == ["ART_2:1"] and len(found("list of theorem in ART_1 | ref | notation")) == 1
+    signs = {(r.item_id, r.constructor_item_id): r.is_positive for r in engine.library.item_constructor_ref.collect()}
+    assert sorted(signs.values()) == [False, True, True]
+
+
+def test_ingest_begins_anew_after_a_failure(spark, tmp_path, monkeypatch):
+    source, target = tmp_path / "in", str(tmp_path / "lib")
+    source.mkdir()
+    (source / "a1.esx").write_text(article(1))
+    ingest(spark, str(source), target)
+    (source / "a2.esx").write_text(article(2))
+
+    def fails(parsed):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest_module, "library_tables", fails)
+        for _ in range(2):
+            with pytest.raises(RuntimeError, match="lost"):
+                ingest(spark, str(source), target)
+    assert latest_run(spark, target)["generation"] == 1 and Library.load(spark, target).mml_item.count() == 4
+    done = ingest(spark, str(source), target)
+    assert (done.generation, done.files, done.unchanged) == (2, 2, 1) and Library.load(spark, target).mml_item.count() == 8
+    assert [r.generation for r in run_log(spark, target).orderBy("generation").collect()] == [1, 2]
+
+
+def test_versions_and_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest_module, "PARTS", 2)
+    source, target = tmp_path / "in", str(tmp_path / "lib")
+    source.mkdir()
+    (source / "a1.esx").write_text(article(1))
+    texts = (article(2), article(2, "<Numeral-Term number='7'/>"), article(2), article(2, "<Numeral-Term number='9'/>"))
+    for generation, text in enumerate(texts, 1):
+        (source / "a2.esx").write_text(text)
+        done = ingest(spark, str(source), target)
+        assert (done.generation, done.unchanged) == (generation, 0 if generation == 1 else 1)
+        folder = next(p for p in Path(target).glob(f"g{generation}-*") if (Path(target) / "_generations" / p.name[1:]).exists())
+        versions = {Path(r.path).name: r.version for r in spark.read.parquet(str(folder / "versions")).collect()}
+        assert versions == {"a1.esx": 1, "a2.esx": generation}
+        numbers = [r.n for r in Library.load(spark, target).item_node.selectExpr("attrs['number'] n").filter("n is not null").collect()]
+        assert numbers == {2: ["7"], 4: ["9"]}.get(generation, []) and done.counts["mml_item"] == 8
+    (source / "a2.esx").unlink()
+    assert ingest(spark, str(source), target).counts["mml_item"] == 4
+
+
 def test_streaming_ingest(spark, tmp_path):
     from folia.streaming.watch import watch
 
     source = tmp_path / "in"
     source.mkdir()
     shutil.copy(FIXTURE, source / "demo_1.esx")
-    watch(spark, str(source), str(tmp_path / "lib"), str(tmp_path / "cp"), once=True).awaitTermination(120)
-    assert Engine(spark, Library.load(spark, str(tmp_path / "lib"))).query("list of theorem").count() == 2
+    for theorems in (2, 3):
+        watch(spark, str(source), str(tmp_path / "lib"), str(tmp_path / "cp"), once=True).awaitTermination(120)
+        assert Engine(spark, Library.load(spark, str(tmp_path / "lib"))).query("list of theorem").count() == theorems
+        (source / "a1.esx").write_text(article(1))  # the next batch has this file alone
 
 
 def test_edges_and_types(spark, engine):
