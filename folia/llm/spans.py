@@ -103,24 +103,21 @@ def bucket_count(df: DataFrame, grow: float = 1.0) -> int:
 
 
 def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
-    """Bring the rows of a bucket together, bucket after bucket, so that a task holds one at a time."""
-    return rows.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket")
+    """Bring the rows of a bucket together; buckets are several times as many as partitions."""
+    return rows.repartition(buckets // 4, "bucket")
 
 
 def each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """The rows of one bucket after the other, from rows in order of bucket."""
-    held, last = [], None
+    """The rows of one bucket after the other: a task holds its partition as it came, packed, and unpacks a bucket at a time."""
+    held: dict[int, list[pa.RecordBatch]] = {}
     for b in batches:
         of = b.column("bucket").to_numpy()
-        cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        order = np.argsort(of, kind="stable")
+        cut = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
         for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(of)], strict=True):
-            if held and of[a] != last:
-                yield held
-                held = []
-            held.append(b.slice(a, z - a))
-            last = of[a]
-    if held:
-        yield held
+            held.setdefault(int(of[order[a]]), []).append(b.take(pa.array(order[a:z])))
+    for bucket in sorted(held):
+        yield held.pop(bucket)
 
 
 def blobs(column: pa.Array, dtype: np.dtype) -> np.ndarray:
