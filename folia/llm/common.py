@@ -54,9 +54,11 @@ def release(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df marked for broadcast if it has no more than so many (narrow) rows, else df: then an ordinary join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def maybe_broadcast(df: DataFrame, rows: int = 100_000, size: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if it has no more than so many rows, and so many bytes of text in them, else df: then an ordinary join."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(sum(texts, F.lit(0)))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 def whole_row(df: DataFrame) -> Column:
