@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.llm.common import SEED, materialize, maybe_broadcast, order_key, whole_row, with_word_counts
+from folia.llm.common import SEED, before_groups, materialize, maybe_broadcast, order_key, whole_row, with_word_counts
 
 #: Hex digits of the order key that name a slice of a source: 16 ** 4 slices.
 SLICE_DIGITS = 4
@@ -36,18 +36,17 @@ def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int
     more = [whole_row(df).alias("row")] if carry else []
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), *more)
     sized = with_word_counts(rows, "text", "size", ["id", "source", *["row"] * carry]).withColumn("key", order_key(seed, F.col("id")))
-    return sized.withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+    return sized.withColumn("slice", F.conv(F.substring("key", 1, SLICE_DIGITS), 16, 10).cast("int"))
 
 
 def _quotas(sized: DataFrame, budget_share: float, max_epochs: float, weights: tuple[float, ...]) -> DataFrame:
     """Of each source: total, target, whole epochs, the slice in which the rest runs out (edge), and what is left of it there."""
-    slices = sized.groupBy("source", "slice").agg(F.sum("size").alias("s"))
-    targets = water_fill(slices.groupBy("source").agg(F.sum("s").alias("total")), budget_share, max_epochs, list(weights))
+    slices = materialize(sized.groupBy(F.col("source").alias("s_source"), "slice").agg(F.sum("size").alias("c")), "slices")
+    targets = water_fill(slices.groupBy(F.col("s_source").alias("source")).agg(F.sum("c").alias("total")), budget_share, max_epochs, list(weights))
     epochs = F.when(F.col("total") > 0, F.floor(F.floor("target") / F.col("total"))).otherwise(F.lit(0))
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.floor("target") - F.col("epochs") * F.col("total"))
-    before = F.sum("s").over(Window.partitionBy("source").orderBy("slice")) - F.col("s")
-    slices = slices.withColumn("before", before).withColumnRenamed("source", "s_source")
-    edge = targets.join(slices, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("rest") >= F.col("before")) & (F.col("rest") < F.col("before") + F.col("s")), "left")
+    slices = before_groups(slices, ["s_source"], "slice")
+    edge = targets.join(slices, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("rest") >= F.col("before")) & (F.col("rest") < F.col("before") + F.col("c")), "left")
     edge = edge.select(F.col("source").alias("t_source"), "total", "target", "epochs", F.col("slice").alias("edge"), (F.col("rest") - F.col("before")).alias("left"))
     return maybe_broadcast(materialize(edge, "quotas"))
 

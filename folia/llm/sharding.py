@@ -5,25 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.llm.common import SEED, materialize, maybe_broadcast, order_key, unit
+from folia.llm.common import SEED, before_groups, materialize, maybe_broadcast, order_key, unit
 
 #: Rows that one window group holds on average; more rows make more groups.
 GROUP_ROWS = 2_000
-#: Groups whose counts are summed up in one window; the sums of these are summed up in turn.
-BLOCK = 4_096
-
-
-def before_groups(counts: DataFrame, keys: list[str], group: str) -> DataFrame:
-    """keys, group, and how many rows the groups before it have, of the rows (keys, group, c); in two steps, so that no task sums all groups."""
-    counts = counts.withColumn("block", F.floor(F.col(group) / BLOCK))
-    in_block = Window.partitionBy(*keys, "block").orderBy(group)
-    counts = counts.withColumn("inside", F.sum("c").over(in_block) - F.col("c"))
-    blocks = counts.groupBy(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("block").alias("b_block")).agg(F.sum("c").alias("s"))
-    blocks = blocks.withColumn("start", F.sum("s").over(Window.partitionBy(*[f"b_{k}" for k in keys]).orderBy("b_block")) - F.col("s"))
-    same = F.col("block") == F.col("b_block")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"b_{k}"))
-    return counts.join(maybe_broadcast(blocks), same).select(*keys, group, (F.col("start") + F.col("inside")).alias("before"))
 
 
 def interleave_shards(
@@ -59,7 +44,7 @@ def interleave_shards(
 
     keys = spread(base.select("id", "source", "key"))
     parts = materialize(keys.groupBy(F.col("source").alias("p_source"), F.col("part").alias("p_part")).agg(F.count(F.lit(1)).alias("c")), "parts")
-    parts = before_groups(parts, ["p_source"], "p_part")
+    parts = before_groups(parts, ["p_source"], "p_part").drop("c")
     in_part = Window.partitionBy("source", "part").orderBy("key", "id", "crc")
     ranked = (
         spread(base)
@@ -68,7 +53,7 @@ def interleave_shards(
         .select("id", "source", "size", "crc", "key", ((F.col("rank") - 0.5) / F.col("n")).alias("at"))
     )
     ranked = materialize(ranked.withColumn("cut", F.floor(F.col("at") * max(1, -(-total // group_rows)))), "ranks")
-    cuts = before_groups(materialize(ranked.groupBy(F.col("cut").alias("c_cut")).agg(F.count(F.lit(1)).alias("c")), "cuts"), [], "c_cut")
+    cuts = before_groups(materialize(ranked.groupBy(F.col("cut").alias("c_cut")).agg(F.count(F.lit(1)).alias("c")), "cuts"), [], "c_cut").drop("c")
     place = F.col("before") + F.row_number().over(Window.partitionBy("cut").orderBy("at", "key", "id", "crc")) - 1
     placed = ranked.join(cuts, F.col("cut") == F.col("c_cut")).withColumn("place", place)
     shard = F.expr(f"place * {n_shards} div {max(1, total)}")
