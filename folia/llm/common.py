@@ -18,6 +18,8 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 
 SEED = 42
+#: Rows of one key that an ordinary join may bring to one task.
+HEAVY_ROWS = 1_000_000
 #: Groups whose counts are summed up in one window; the sums of these are summed up in turn.
 BLOCK = 4_096
 
@@ -63,6 +65,19 @@ def maybe_broadcast(df: DataFrame, rows: int = 100_000, size: int = 32 << 20) ->
     return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows joined with the table groups (of, n, ...) where key = of; n rows have that key.
+
+    The groups of over HEAVY_ROWS rows, of which there are few, are broadcast: no task gets one whole.
+    """
+    heavy = groups.filter(F.col("n") > HEAVY_ROWS)
+    if not heavy.limit(1).count():
+        return rows.join(groups, F.col(key) == F.col("of")).drop("of", "n")
+    few = maybe_broadcast(heavy)
+    rest = rows.join(maybe_broadcast(heavy.select("of")), F.col(key) == F.col("of"), "left_anti").join(groups.filter(F.col("n") <= HEAVY_ROWS), F.col(key) == F.col("of"))
+    return rows.join(few, F.col(key) == F.col("of")).unionByName(rest).drop("of", "n")
+
+
 def before_groups(counts: DataFrame, keys: list[str], group: str) -> DataFrame:
     """keys, group, and how many rows the groups before it have, of the rows (keys, group, c); in two steps, so that no task sums all groups."""
     counts = counts.withColumn("block", F.floor(F.col(group) / BLOCK))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import SEED, materialize, release, row_slices
+from folia.llm.common import SEED, join_groups, materialize, release, row_slices
 from folia.llm.spans import bucket_count, by_bucket, each_bucket
 
 #: Segments of a fingerprint: the embedding has as many dimensions, each with a count from 0 to BITS // segments.
@@ -246,10 +246,10 @@ def simhash_groups(df: DataFrame, *, words: int = 5, radius: int = 3, id_col: st
     null component_id. Empty table: no rows. Other columns are ignored, whatever their names.
     """
     rows = materialize(fingerprints(df, words, id_col=id_col, text_col=text_col, seed=seed), "prints")
-    points = materialize(rows.groupBy("print").agg(F.min("id").alias("least")), "points")
+    points = materialize(rows.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "points")
     roots = components(fingerprint_links(points.select("print"), radius))
-    named = points.join(roots, F.col("print") == F.col("node"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    named = points.join(roots, F.col("print") == F.col("node"), "left").select("print", "least", "n", F.coalesce("root", "print").alias("root"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(groups, "root").select(F.col("print").alias("of"), "component_id")
-    out = rows.join(named, F.col("print") == F.col("of"))
+    named = materialize(named.join(groups, "root").select(F.col("print").alias("of"), "n", "component_id"), "groups")
+    out = join_groups(rows, named, "print")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -514,6 +514,16 @@ def test_simhash(docs, rows, none):
     assert len(one_of_each_group(docs).collect()) <= len(texts) and one_of_each_group(none).count() == 0
 
 
+def test_heavy_groups_are_broadcast(docs, monkeypatch):
+    from folia.llm import common
+
+    want = sorted(map(tuple, simhash_groups(docs, words=3).collect()))
+    near = sorted(r.doc_id for r in one_of_each_group(docs).collect())
+    monkeypatch.setattr(common, "HEAVY_ROWS", 1)
+    assert sorted(map(tuple, simhash_groups(docs, words=3).collect())) == want
+    assert sorted(r.doc_id for r in one_of_each_group(docs).collect()) == near
+
+
 def test_bound():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 500, dtype=np.uint64)
