@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.plans.ast import NodePredicate
@@ -47,9 +47,15 @@ def simple_condition(predicate: NodePredicate) -> Column | None:
     return condition if predicate.attribute is None else condition & attribute_matches(predicate.attribute, predicate.value)
 
 
-def in_path_order() -> WindowSpec:
-    """The nodes after each node of an item: all that lie below it come first, since a path is followed by those that go on from it."""
-    return Window.partitionBy("item_id").orderBy("node_path").rowsBetween(1, Window.unboundedFollowing)
+def next_in_path_order(path: Column, *ties: str) -> Column:
+    """The first path, null ones left out, among the nodes after each node of an item.
+
+    All that lies below a node comes first after it, since a path is followed by those that go
+    on from it. Paths are read backwards: then the frame grows by a row at a time, and an item
+    takes as many steps as it has nodes. ties: what orders rows of one path.
+    """
+    backwards = Window.partitionBy("item_id").orderBy(F.desc("node_path"), *ties).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(path, ignorenulls=True).over(backwards)
 
 
 def lies_below(path: Column) -> Column:
@@ -66,8 +72,8 @@ def ancestors_at(nodes: DataFrame, levels: int) -> DataFrame:
 def above(candidates: DataFrame, below: DataFrame) -> DataFrame:
     """The candidates that have one of `below` at any depth under them: one pass over each item in path order."""
     rows = candidates.withColumn("_below", F.lit(False)).unionByName(below.select("item_id", "node_path", F.lit(True).alias("_below")), allowMissingColumns=True)
-    following = F.first(F.when(F.col("_below"), F.col("node_path")), ignorenulls=True).over(in_path_order())
-    return rows.withColumn("_next", following).filter(~F.col("_below") & lies_below(F.col("_next"))).drop("_below", "_next")
+    # a node that is both must not stand in its own way
+    return rows.withColumn("_next", next_in_path_order(F.when(F.col("_below"), F.col("node_path")), "_below")).filter(~F.col("_below") & lies_below(F.col("_next"))).drop("_below", "_next")
 
 
 def matching_nodes(lib: Library, predicate: NodePredicate, ids: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folia.operators.navigate import item_ids
-from folia.operators.predicates import any_of, flagged_nodes, in_path_order, lies_below
+from folia.operators.predicates import any_of, flagged_nodes, lies_below, next_in_path_order
 from folia.plans.ast import NodePredicate
 from folia.plans.library import Library
 from folia.plans.rows import Rows, rows_of
@@ -21,12 +21,12 @@ def select_nodes(lib: Library, rows: Rows, target: NodePredicate, predicates: tu
     flags = [f"m{k}" for k in range(len(predicates) + 1)]
     df = flagged_nodes(lib, [target, *predicates], item_ids(rows), ("node_path", F.struct("tag_lc", "attrs", "pos", "spelling", "raw").alias("node")))
     df = df.filter(any_of([F.col(m) for m in flags])).withColumn("node", F.when(F.col("m0"), F.col("node")))
-    order, keep = in_path_order(), F.col("m0")
-    df = df.withColumns({f"below{k}": lies_below(F.first(F.when(F.col(f"m{k}"), F.col("node_path")), ignorenulls=True).over(order)) for k in range(1, len(flags))})
+    keep = F.col("m0")
+    df = df.withColumns({f"below{k}": lies_below(next_in_path_order(F.when(F.col(f"m{k}"), F.col("node_path")))) for k in range(1, len(flags))})
     for k, p in enumerate(predicates, 1):
         keep = keep & (~F.col(f"below{k}") if p.negated else F.col(f"below{k}"))
     found = df.filter(keep).select("id", "item_id", "node_path", "node.*")
-    found = found.withColumn("_nested", lies_below(F.first("node_path").over(order))).filter(~F.col("_nested")).drop("_nested")
+    found = found.withColumn("_nested", lies_below(next_in_path_order(F.col("node_path")))).filter(~F.col("_nested")).drop("_nested")
     items = lib.view_items.select("item_id", "article_name", "lib_id", "kind", F.col("subkind").alias("item_subkind"))
     attrs = F.col("attrs")
     df = found.join(items, "item_id").select(

@@ -104,6 +104,18 @@ def test_paths(world, step):
     assert {r.item_id for r in engine.query(f"list of statement where item has A{step}B[spelling='x']").collect()} == wanted
 
 
+@pytest.mark.parametrize("step", ["/", "//", "/2/"])
+def test_paths_of_one_tag(world, step):
+    """The first and the last of a path can be one kind of node: A below A."""
+    engine, items = world
+    levels = {"/": {1}, "//": set(range(1, 9)), "/2/": {2}}[step]
+    wanted = {i for i, rows in items.items() for r in hits(rows, ("A", None)) for x in below(r, rows, ("A", "x")) if x["depth"] - r["depth"] in levels}
+    assert {r.item_id for r in engine.query(f"list of statement where item has A{step}A[spelling='x']").collect()} == wanted and wanted
+    nodes = {r["id"] for rows in items.values() for r in hits(rows, ("B", None)) if any(any(y["depth"] - x["depth"] in levels for y in below(x, rows, ("A", "x"))) for x in below(r, rows, ("A", None)))}
+    inner = {r["id"] for rows in items.values() for r in rows if r["id"] in nodes and not any(x["id"] in nodes and x["path"].startswith(r["path"] + "/") for x in rows)}
+    assert {r.node_id for r in engine.query(f"list of statement | nodes B where has A{step}A[spelling='x']").collect()} == inner
+
+
 def test_set_laws(world):
     engine, _ = world
     a, b = "list of statement where item has B", "list of statement where item has CTerm[spelling='y']"
