@@ -30,7 +30,9 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _engines:
         library = star_library(spark, sf_dir, keep=True)
-        library.persist("item_node", "mml_item", "item_constructor_ref", "nodes", "view_items")
+        stored = library.item_node.columns
+        library.persist("mml_item", "item_constructor_ref", "nodes", "view_items")
+        library.tables["item_node"] = library.nodes.select(*stored)  # kept once
         _engines[key] = Engine(spark, library)
     return _engines[key]
 
