@@ -160,12 +160,12 @@ def resolve_references(pending: DataFrame, library: Library) -> DataFrame:
     """Edges (item, constructor, role) from references by library id: one join, once all items are known.
 
     Of items with one library id the one of the highest component rank counts. Edges to things
-    that are no constructors are dropped, and repeated ones added up.
+    that are no constructors are dropped, and repeated ones added up: positive if one of them is.
     """
     best = Window.partitionBy("lib_id").orderBy(F.desc_nulls_last("component_rank"), "item_id")
     known = library.view_items.filter("lib_id is not null").withColumn("n", F.row_number().over(best)).filter("n = 1")
     known = known.select(F.col("lib_id").alias("constructor_lib_id"), F.col("item_id").alias("constructor_item_id")).join(library.constructor.select(F.col("item_id").alias("constructor_item_id")), "constructor_item_id", "left_semi")
-    edges = pending.join(known, "constructor_lib_id").groupBy("item_id", "constructor_item_id", "role").agg(F.first("is_positive").alias("is_positive"), F.count(F.lit(1)).cast("int").alias("occurrences"))
+    edges = pending.join(known, "constructor_lib_id").groupBy("item_id", "constructor_item_id", "role").agg(F.bool_or("is_positive").alias("is_positive"), F.count(F.lit(1)).cast("int").alias("occurrences"))
     return edges.select(_id(F.lit("edge"), F.col("item_id"), F.col("constructor_item_id"), F.col("role")).alias("id"), "item_id", "constructor_item_id", "role", "is_positive", "occurrences")
 
 

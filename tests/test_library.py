@@ -211,6 +211,19 @@ def test_edges_and_types(spark, engine):
     assert attribute_count(lib).count() == 4 and tag_diagnostics(lib, 3).count() == 3
 
 
+def test_repeated_edges_of_both_signs(spark, engine):
+    """Positive if one is, in whatever order they come."""
+    lib = engine.library
+    item = lib.mml_item.filter("kind = 'notation'").first()
+    signs = {"negative": (False, False), "positive": (True, True), "last": (False, True), "first": (True, False), "unknown": (None, True)}
+    rows = [(i, item.lib_id, "ref", s) for i, both in signs.items() for s in both]
+    made = Library(spark, dict(lib.tables) | {"constructor": spark.createDataFrame([(item.id, "attr", None)], "item_id string, constructor_kind string, short_name string")})
+    for turn in (rows, rows[::-1]):
+        pending = spark.createDataFrame(turn, "item_id string, constructor_lib_id string, role string, is_positive boolean").coalesce(1)
+        found = {e.item_id: (e.is_positive, e.occurrences) for e in resolve_references(pending, made).collect()}
+        assert found == {i: (i != "negative", 2) for i in signs}
+
+
 @pytest.mark.parametrize(
     ("text", "op", "n", "found"),
     [
