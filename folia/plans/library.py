@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folia.functions.ancestors import ancestors
+
 SCHEMAS = {
     "article": "id string, name string, title string, file_path string, xml_content string",
     "mml_item": "id string, article_id string, kind string, subkind string, number int, lib_id string, title string, text_content string, raw_xml string, component_rank int",
@@ -75,12 +77,8 @@ def _nodes(lib: Library) -> DataFrame:
 
 
 def _closure(lib: Library) -> DataFrame:
-    """(item_id, anc_id, des_id, dist) of all strict ancestors: every path is joined to its prefixes, without recursion."""
-    nodes = lib.item_node.select("item_id", "id", "node_path")
-    parts = F.split(F.substring("node_path", 2, 1 << 20), "/")
-    up = nodes.withColumn("parts", parts).withColumn("dist", F.explode(F.sequence(F.lit(1), F.size("parts") - 1))).filter("dist > 0 and size(parts) > dist")
-    up = up.select("item_id", F.col("id").alias("des_id"), "dist", F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), F.size("parts") - F.col("dist")), "/")).alias("path"))
-    return up.join(nodes.select("item_id", F.col("id").alias("anc_id"), F.col("node_path").alias("path")), ["item_id", "path"]).select("item_id", "anc_id", "des_id", "dist")
+    """(item_id, anc_id, des_id, dist) of all strict ancestors, found by the prefixes of paths, without recursion."""
+    return ancestors(lib.item_node.select("item_id", "id", "node_path"))
 
 
 def _view_items(lib: Library) -> DataFrame:

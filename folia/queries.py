@@ -31,6 +31,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     if key not in _engines:
         library = star_library(spark, sf_dir, keep=True)
         stored = library.item_node.columns
+        library.built["closure"] = library.closure  # of three columns of the nodes, which need not be kept for it
         library.persist("mml_item", "item_constructor_ref", "nodes", "view_items")
         library.tables["item_node"] = library.nodes.select(*stored)  # kept once
         _engines[key] = Engine(spark, library)

@@ -103,6 +103,8 @@ def star_library(spark: SparkSession, directory: str, *, keep: bool = False) ->
     frames: dict[str, DataFrame] = {t: spark.read.parquet(f"{directory}/{t}.parquet") for t in INPUTS}
     for name, text in SQL.items():
         used = {n: frames[n] for n in frames if "{" + n + "}" in text}
+        if name == "lines":  # one shuffle for all that numbers lines, whatever columns it takes of them
+            used["lineitem"] = used["lineitem"].repartition("l_orderkey")
         frames[name] = spark.sql(text, **used)
         if keep and name == "lines":
             frames[name] = frames[name].persist()

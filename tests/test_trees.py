@@ -168,3 +168,20 @@ def test_pages_as_trees(spark):
     pages = spark.createDataFrame([(1, "http://a.b/x", "<div><p class='k'>t</p></div>"), (2, None, None), (3, "http://a.b/y", "<img><hr><div><p class='k'></p></div>")], "page_id long, url string, html string")
     engine = Engine(spark, page_library(pages))
     assert sorted(r.lib_id for r in engine.query("list of theorem where item has Div/P[class='k']").collect()) == ["P1", "P3"]
+
+
+def test_closure_in_one_shuffle(spark):
+    """All pairs of a node and its ancestors in its item, without a join of paths with their prefixes."""
+    rng = random.Random(3)
+    rows = [(r["item"], r["id"], r["path"]) for k in range(60) for r in flatten(f"i{k}", Node(rng, 0, "Item"))]
+    rows += [("i0", "again", "/Item[1]"), ("gap", "g", "/A[1]/B[1]/C[1]"), ("gap", "h", "/A[1]"), ("null", "n", None), (None, "m", "/A[1]/B[1]"), (None, "o", "/A[1]")]
+    closure = Library(spark, {"item_node": spark.createDataFrame(rows, "item_id string, id string, node_path string").repartition(5)}).closure
+    plan = closure._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    of = {}
+    for i, n, p in rows:
+        if i and p:
+            of.setdefault(i, []).append((n, p))
+    wanted = sorted((i, a, d, pd.count("/") - pa.count("/")) for i, nodes in of.items() for a, pa in nodes for d, pd in nodes if pd.startswith(pa + "/"))
+    assert len(wanted) > 1000 and sorted(map(tuple, closure.collect())) == wanted
+    assert not Library(spark, {}).closure.count()
