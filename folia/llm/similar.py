@@ -4,7 +4,9 @@ The segment-popcount embedding of the fingerprint operator, at a similarity that
 of 64 bits cannot decide: a text's set of shingle hashes is cut into segments of the hash space,
 and the embedding is the number of shingles in each. The Manhattan distance of two embeddings
 is a lower bound of the sets' symmetric difference, which a similarity bounds from above.
-Candidates share a shingle of their prefixes; the bound thins them out; the sets decide.
+Candidates come from a grid over the embedding, at its finest (a segment for each hash value):
+a cell is a part of the dimensions and what a set has there, as half vectors are for
+fingerprints. The bound thins candidates out; the sets decide.
 """
 
 from __future__ import annotations
@@ -23,16 +25,16 @@ from folia.llm.spans import bucket_count, by_bucket, each_bucket, mixed
 
 #: Segments of the embedding: one byte a segment, counts of 255 and more alike.
 SEGMENTS = 256
-#: Texts of a shingle of which all pairs are compared at once; of more, at first one text with the rest.
+#: Texts of a cell of which all pairs are compared at once; of more, at first one text with the rest.
 SMALL = 4
-#: Texts of a shingle that are held at once where block meets block.
+#: Texts of a cell that are held at once where block meets block.
 BLOCK = 1024
 #: Texts counted to tell common shingles from rare ones, and the shingles kept of that count.
 SAMPLED, COMMON = 20_000, 1 << 16
-#: A shingle of a text's prefix: what its bucket leaves open of the hash, the text's place in the batch's list, and the shingle's in the prefix.
-TOKEN = np.dtype([("low", "<u4"), ("high", "<u2"), ("text", "<u2"), ("pos", "<u2")])
+#: A text's place in a cell: what its bucket leaves open of the cell's hash, and the text's place in the batch's list.
+TOKEN = np.dtype([("low", "<u4"), ("high", "<u2"), ("text", "<u2")])
 TEXT = np.dtype([("id", "<i8"), ("n", "<u4")])
-MEMBER = np.dtype([("id", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+MEMBER = np.dtype([("id", "<i8"), ("n", "<u4")])
 
 
 def shingle_set(text: bytes, words: int, seed: int) -> np.ndarray:
@@ -55,30 +57,58 @@ def most_apart(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
     return (na + nb) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def rare_first(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A set's shingles in an order that is the same for all sets: by sampled count (0 if not in common), then by hash."""
-    if not len(common):
-        return s
-    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-    return s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))]
+def size_bands(n: int, similarity: float) -> tuple[int, int, int]:
+    """The band of a size, its largest size, and that of the band after it.
+
+    Sets of this similarity or more are of one band or of two that follow each other.
+    """
+    band, first = 0, 1
+    while (after := math.floor(first / similarity + 1e-9) + 1) <= n:
+        band, first = band + 1, after
+    return band, after - 1, math.floor(after / similarity + 1e-9)
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    """So many first shingles of two sets of this similarity or more, in one order of all, have one in common."""
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+def grid_cells(s: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Hashes of the cells of the grid at which a set meets all sets of this similarity or more.
+
+    There is a grid for each band of sizes, for pairs whose larger set is of that band: a set is
+    in its own and in the next one. Two such sets differ in at most `most` hashes; the hash space
+    is cut into half as many parts again, and a set's cell in a part is all that it has there.
+    All but `most` cells of the two are alike, so that in any one order of all cells the first
+    most + 1 of each have one in common: those are enough. Cells come in the order of their
+    rarest shingle, by sampled count (0 if not in common), empty ones last.
+    """
+    if not len(s):
+        return s
+    weight = np.zeros(len(s), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        weight = np.where(common[at] == s, counts[at], 0)
+    hashes = mixed(s)
+    band, *largest = size_bands(len(s), similarity)
+    out = []
+    for grid, top in enumerate(largest, band):
+        most = int(most_apart(top, top, similarity))
+        parts = most + 1 + most // 2
+        of = ((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        cells, rank = np.zeros(parts, np.uint64), np.full(parts, np.iinfo(np.int64).max)
+        cells[of[starts]], rank[of[starts]] = np.add.reduceat(hashes, starts), np.minimum.reduceat(weight, starts)
+        cells = mixed(cells + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(grid + 1 << 40)))
+        out.append(cells[np.lexsort((cells, rank))[: most + 1]])
+    return np.concatenate(out)
 
 
 def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """False where sizes, or what can follow the shared shingle if it is the first, rule a pair out."""
+    """False where sizes rule a pair out."""
     na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    most = np.minimum(na - a["pos"], nb - b["pos"])
-    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (most >= similarity / (1 + similarity) * (na + nb) - 1e-9)
+    return np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9
 
 
 def first_pairs(m: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs (a, b) of ids, a < b, of the texts of one shingle: all of a few, else of one with the rest.
+    """Pairs (a, b) of ids, a < b, of the texts of one cell: all of a few, else of one with the rest.
 
-    That one has the least mixed id, so that shingles of the same texts mostly choose the same.
+    That one has the least mixed id, so that cells of the same texts mostly choose the same.
     """
     if len(m) <= SMALL:
         i, j = np.triu_indices(len(m), 1)
@@ -99,7 +129,7 @@ def pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
 def common_shingles(texts: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of a seeded sample of texts have, sorted, and their counts: COMMON of them at most.
 
-    They order shingles, and so decide the work, not the result.
+    They order cells, and so decide the work, not the result.
     """
     share = min(1.0, SAMPLED / max(1, texts.count()))
     sample = texts.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -117,19 +147,19 @@ def common_shingles(texts: DataFrame, words: int, seed: int) -> tuple[np.ndarray
 
 
 def shared_tokens(points: DataFrame) -> DataFrame:
-    """(token, m, members) of each shingle that the prefixes of several points (id, n, prefix) have.
+    """(token, m, members) of each cell in which several points (id, n, cells) are.
 
-    A shingle is sent as 48 bits of its hash beside its bucket. Two that are taken for one
+    A cell is sent as 48 bits of its hash beside its bucket. Two that are taken for one
     only make more candidates.
     """
     buckets = bucket_count(points, 2)
 
     def route(batches):
         for whole in batches:
-            for part in row_slices(whole, "prefix"):
+            for part in row_slices(whole, "cells"):
                 for k in range(0, part.num_rows, 1 << 16):
                     b = part.slice(k, 1 << 16)
-                    held = [np.frombuffer(x.as_buffer(), "<u8") for x in b.column("prefix")]
+                    held = [np.frombuffer(x.as_buffer(), "<u8") for x in b.column("cells")]
                     sizes = np.array([len(x) for x in held], np.int64)
                     h = mixed(np.concatenate([np.zeros(0, np.uint64), *held]))
                     texts = np.empty(len(held), TEXT)
@@ -137,8 +167,6 @@ def shared_tokens(points: DataFrame) -> DataFrame:
                     r = np.empty(len(h), TOKEN)
                     r["low"], r["high"] = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) & np.uint64(0xFFFF)
                     r["text"] = np.repeat(np.arange(len(held)), sizes)
-                    # a place said too small rules out less
-                    r["pos"] = np.minimum(np.arange(len(r)) - np.repeat(np.cumsum(sizes) - sizes, sizes), 0xFFFF)
                     of = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
                     order = np.argsort(of, kind="stable")
                     at = np.searchsorted(of[order], np.arange(buckets + 1))
@@ -153,7 +181,7 @@ def shared_tokens(points: DataFrame) -> DataFrame:
                     r, t = np.frombuffer(r.as_buffer(), TOKEN), np.frombuffer(t.as_buffer(), TEXT)
                     m = np.empty(len(r), [("token", "<u8"), *[(k, MEMBER[k]) for k in MEMBER.names]])
                     m["token"] = r["low"].astype(np.uint64) | r["high"].astype(np.uint64) << np.uint64(32)
-                    m["id"], m["n"], m["pos"] = t["id"][r["text"]], t["n"][r["text"]], r["pos"]
+                    m["id"], m["n"] = t["id"][r["text"]], t["n"][r["text"]]
                     held.append(m)
             r = np.concatenate(held)
             r = r[np.argsort(r["token"], kind="stable")]
@@ -169,7 +197,7 @@ def shared_tokens(points: DataFrame) -> DataFrame:
                 members = [m[a : a + n].tobytes() for a, n in zip(cut[part].tolist(), sizes[part].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(token[cut[part]].view(np.int64)), pa.array(sizes[part]), pa.array(members, pa.binary())], names=["token", "m", "members"])
 
-    packed = points.select("id", "n", "prefix").mapInArrow(route, "bucket int, records binary, texts binary")
+    packed = points.select("id", "n", "cells").mapInArrow(route, "bucket int, records binary, texts binary")
     return by_bucket(packed, buckets).mapInArrow(gather, "token long, m long, members binary")
 
 
@@ -226,7 +254,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, words:
 
 
 def block_pairs(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """Pairs across labels of the texts (token, id, n, pos, label, emb) of each token that embeddings leave: block against block.
+    """Pairs across labels of the texts (token, id, n, label, emb) of each token that embeddings leave: block against block.
 
     All such pairs, or as a forest the closest ones that would join all labels that any pair joins.
     A token's texts are cut into blocks of about BLOCK by their ids, and each two of its blocks meet in one
@@ -235,7 +263,7 @@ def block_pairs(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
     rows = rows.join(counts, "token").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "pos", "label", "emb")
+    rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "label", "emb")
 
     def each(key, part):
         lo, hi = key[1].as_py(), key[2].as_py()
@@ -266,8 +294,8 @@ def block_pairs(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
 def set_links(points: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
     """Links (a, b) between points, each of this similarity or more: enough of them to connect all that are linked.
 
-    Two sets that similar share one of their first shingles in any order common to all. Of a
-    shingle with many texts one text is compared with the rest, twice, which settles most of a
+    Two sets that similar meet in a cell of the grid (see grid_cells). Of a
+    cell with many texts one text is compared with the rest, twice, which settles most of a
     group of near copies in as many comparisons as it has texts. Among what is not in one group then
     block meets block: first only the closest pairs that could join groups are verified,
     and at last all that are left across groups.
@@ -293,10 +321,10 @@ def set_links(points: DataFrame, texts: DataFrame, similarity: float, words: int
     links = verified(tokens.select("members").mapInArrow(start, "a long, b long").distinct())
     if not tokens.filter(F.col("m") > SMALL).limit(1).count():
         return links
-    large = tokens.filter(F.col("m") > SMALL).select("token", "members").mapInArrow(unpack, "token long, id long, n long, pos long")
+    large = tokens.filter(F.col("m") > SMALL).select("token", "members").mapInArrow(unpack, "token long, id long, n long")
     for turn in ("head", "forest", "all"):
         roots = components(links)
-        labelled = large.join(roots, F.col("id") == F.col("node"), "left").select("token", "id", "n", "pos", F.coalesce("root", "id").alias("label"))
+        labelled = large.join(roots, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("root", "id").alias("label"))
         labelled = materialize(labelled, "labelled")
         open_ = materialize(labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"), "open")
         before, large = large, materialize(labelled.join(maybe_broadcast(open_), "token", "left_semi"), "large")
@@ -318,9 +346,9 @@ def similar_groups(df: DataFrame, *, similarity: float = 0.8, words: int = 5, id
     """Groups of rows linked by sets of shingles whose Jaccard similarity is at least `similarity`.
 
     Shingles as in simhash_groups, each once, by 64 bits of hash. Of texts with one set the
-    least id stands for all. Candidates are texts that share a shingle of their prefixes (see
-    set_links), which every pair of that similarity does, at any number of rows; a candidate
-    is a link only if the sets themselves say so.
+    least id stands for all. Candidates are texts that share a cell of the grid (see
+    grid_cells), which every pair of that similarity does, at any number of rows; a candidate
+    is a link only if the bound of its embeddings and then the sets themselves say so.
 
     Returns id and component_id (smallest id of the group) of every row. Ids are distinct and
     not null (one_of_each_group numbers others). Null, empty and blank texts have the empty
@@ -330,7 +358,7 @@ def similar_groups(df: DataFrame, *, similarity: float = 0.8, words: int = 5, id
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common, counts = common_shingles(texts, words, seed)
 
-    def prefixes(batches):
+    def placed(batches):
         for whole in batches:
             for b in row_slices(whole):
                 keys, sizes, found, embedded = [], [], [], []
@@ -338,13 +366,13 @@ def similar_groups(df: DataFrame, *, similarity: float = 0.8, words: int = 5, id
                     s = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
-                    found.append(rare_first(s, common, counts)[: prefix_length(len(s), similarity)].tobytes())
+                    found.append(grid_cells(s, common, counts, similarity).tobytes())
                     embedded.append(embed_set(s).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary()), pa.array(embedded, pa.binary())], names=["id", "key", "n", "prefix", "emb"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary()), pa.array(embedded, pa.binary())], names=["id", "key", "n", "cells", "emb"])
 
-    rows = materialize(texts.mapInArrow(prefixes, "id long, key binary, n long, prefix binary, emb binary"), "prefixes")
+    rows = materialize(texts.mapInArrow(placed, "id long, key binary, n long, cells binary, emb binary"), "placed")
     classes = materialize(rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
-    points = rows.join(classes.select("least"), F.col("id") == F.col("least"), "left_semi").select("id", "n", "prefix", "emb")
+    points = rows.join(classes.select("least"), F.col("id") == F.col("least"), "left_semi").select("id", "n", "cells", "emb")
     links = set_links(points, texts, similarity, words, seed)
     named = classes.join(components(links), F.col("least") == F.col("node"), "left").select(F.col("key").alias("of"), "n", F.coalesce("root", "least").alias("component_id"))
     return join_groups(rows.select("id", "key"), materialize(named, "groups"), "key").select(F.col("id").alias(id_col), "component_id")

@@ -106,6 +106,29 @@ def test_embedding_bounds_the_difference():
     assert apart(embed_set(np.arange(400, dtype=np.uint64)), embed_set(np.arange(300, dtype=np.uint64))) == 0
 
 
+def test_similar_sets_meet_in_the_grid():
+    """Two sets at the similarity share a cell, at every size and whatever else is frequent; others mostly share none."""
+    rng = np.random.default_rng(6)
+    common = np.unique(rng.integers(0, 2**64, 2000, dtype=np.uint64))
+    counts = rng.integers(2, 500, len(common))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for n in [*range(1, 60), 100, 333, 1000, 5000]:
+        for trial in range(20):
+            new = np.unique(rng.integers(0, 2**64, 2 * n, dtype=np.uint64))
+            a = np.unique(np.r_[rng.choice(common, min(n // 2, 1500), replace=False), rng.choice(new, n - min(n // 2, 1500), replace=False)])
+            # as many go as may, and as many come: all of one kind, or some of both
+            go = rng.integers(0, int(n * 0.2 + 1e-9) + 1) if trial % 2 else int(n * 0.2 + 1e-9)
+            stay = rng.permutation(a)[go:]
+            come = max(0, int(len(stay) / 0.8 + 1e-9) - n)
+            b = np.unique(np.r_[stay, np.setdiff1d(new, a)[:come]])
+            both = len(np.intersect1d(a, b))
+            assert both >= 0.8 * (len(a) + len(b) - both) - 1e-9
+            for order in ((common, counts), none):
+                assert len(np.intersect1d(similar.grid_cells(a, *order, 0.8), similar.grid_cells(b, *order, 0.8)))
+    a, b = np.unique(rng.integers(0, 2**64, (2, 400), dtype=np.uint64), axis=1)
+    assert not len(np.intersect1d(similar.grid_cells(np.sort(a), *none, 0.8), similar.grid_cells(np.sort(b), *none, 0.8)))
+
+
 def test_blocks_find_what_heads_leave(spark, monkeypatch):
     """Texts that share passages without being near copies: no pair of blocks may be left out."""
     monkeypatch.setattr(similar, "BLOCK", 16)
