@@ -19,18 +19,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import SEED, join_groups, materialize, maybe_broadcast, odd_ids, release, row_slices, whole_row
-from folia.llm.simhash import Forest, components, shingle_hashes
+from folia.llm.common import IS_SPACE, SEED, join_groups, materialize, maybe_broadcast, odd_ids, release, row_slices, whole_row
+from folia.llm.simhash import Forest, components
 from folia.llm.spans import bucket_count, by_bucket, each_bucket, mixed
 
 #: Segments of the embedding: one byte a segment, counts of 255 and more alike.
 SEGMENTS = 256
 #: Texts of a cell of which all pairs are compared at once; of more, at first one text with the rest.
 SMALL = 4
+#: Texts of a cell of which all pairs that are in different groups are compared at last; of more, blocks meet.
+MEDIUM = 64
 #: Texts of a cell that are held at once where block meets block.
 BLOCK = 1024
 #: Texts counted to tell common shingles from rare ones, and the shingles kept of that count.
-SAMPLED, COMMON = 20_000, 1 << 16
+SAMPLED, COMMON = 5_000, 1 << 16
+#: First size of each band of sizes, each of which has a grid.
+BANDS = 4 ** np.arange(31, dtype=np.int64)
+#: Bytes of a shingle beyond which its hash is XXH64, and bytes of a text that are summed up at once.
+LONG, WINDOW = 512, 1 << 17
+#: Bytes as they count: lower case, any space alike.
+LINE = np.frombuffer(bytes(0x20 if IS_SPACE[k] else k for k in range(256)).lower(), np.uint8)
+#: What a byte stands for, powers of an odd number, and their inverses, modulo 2^64.
+BASE = 0xD1342543DE82EF95
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) << np.uint64(32))
+POWERS, INVERSE = (np.cumprod(np.r_[np.uint64(1), np.full(WINDOW + LONG - 1, x, np.uint64)], dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
 #: A text's place in a cell: what its bucket leaves open of the cell's hash, and the text's place in the batch's list.
 TOKEN = np.dtype([("low", "<u4"), ("high", "<u2"), ("text", "<u2")])
 TEXT = np.dtype([("id", "<i8"), ("n", "<u4")])
@@ -38,8 +50,40 @@ MEMBER = np.dtype([("id", "<i8"), ("n", "<u4")])
 
 
 def shingle_set(text: bytes, words: int, seed: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words, seed)]))
+    """The distinct shingle hashes of a text, sorted.
+
+    A shingle is the bytes from a word to the end of another, with one space between words. Its hash is a
+    polynomial in its bytes, from sums over the line, spread over all bits; that of a long one is XXH64.
+    """
+    data = np.frombuffer(text, np.uint8)
+    space = IS_SPACE[data]
+    # of a run of spaces the last stays, and none before the first word
+    keep = ~space
+    keep[:-1] |= space[:-1] & ~space[1:]
+    if len(keep):
+        keep[0] &= not space[0]
+    data, space = LINE[data[keep]], space[keep]
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    if space[0]:
+        data, space = data[1:], space[1:]
+    gaps = np.flatnonzero(space)
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(data)]
+    n = min(len(starts), words)
+    starts, ends = starts[: len(starts) - n + 1], ends[n - 1 :]
+    found = np.zeros(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + WINDOW, WINDOW)).tolist()
+    for k, at in enumerate(range(0, len(data), WINDOW)):
+        part = data[at : at + WINDOW + LONG]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * POWERS[: len(part)], out=sums[1:])
+        of = slice(cuts[k], cuts[k + 1])
+        found[of] = (sums[np.minimum(ends[of] - at, len(part))] - sums[starts[of] - at]) * INVERSE[starts[of] - at]
+    found = mixed(found ^ np.uint64(seed))
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        found[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    found.sort()
+    return found[np.r_[True, found[1:] != found[:-1]]]
 
 
 def embed_set(s: np.ndarray) -> np.ndarray:
@@ -57,26 +101,21 @@ def most_apart(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
     return (na + nb) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def size_bands(n: int, similarity: float) -> tuple[int, int, int]:
-    """The band of a size, its largest size, and that of the band after it.
-
-    Sets of this similarity or more are of one band or of two that follow each other.
-    """
-    band, first = 0, 1
-    while (after := math.floor(first / similarity + 1e-9) + 1) <= n:
-        band, first = band + 1, after
-    return band, after - 1, math.floor(after / similarity + 1e-9)
+def size_bands(n: np.ndarray) -> np.ndarray:
+    """The bands of sizes: from each power of four to the next."""
+    return np.searchsorted(BANDS, np.asarray(n, np.int64), "right") - 1
 
 
 def grid_cells(s: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """Hashes of the cells of the grid at which a set meets all sets of this similarity or more.
 
-    There is a grid for each band of sizes, for pairs whose larger set is of that band: a set is
-    in its own and in the next one. Two such sets differ in at most `most` hashes; the hash space
-    is cut into half as many parts again, and a set's cell in a part is all that it has there.
-    All but `most` cells of the two are alike, so that in any one order of all cells the first
-    most + 1 of each have one in common: those are enough. Cells come in the order of their
-    rarest shingle, by sampled count (0 if not in common), empty ones last.
+    There is a grid for each band of sizes, for pairs whose larger set is of that band: a set is at
+    home in its own, and calls at the next one if so much larger sets can be similar. The last bit of a cell
+    is that of its band. Sets that similar differ in at most `most` hashes, given the size of one; the
+    hash space is cut into half as many parts again as the largest of the band may differ in, and a set's
+    cell in a part is all that it has there. All but `most` cells of the two are alike, so that in any
+    one order of all cells the first most + 1 of each have one in common: those are enough. Cells come in
+    the order of their rarest shingle, by sampled count (0 if not in common), empty ones last.
     """
     if not len(s):
         return s
@@ -85,16 +124,21 @@ def grid_cells(s: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         weight = np.where(common[at] == s, counts[at], 0)
     hashes = mixed(s)
-    band, *largest = size_bands(len(s), similarity)
+    largest = math.floor(len(s) / similarity + 1e-9)
     out = []
-    for grid, top in enumerate(largest, band):
+    for grid in range(int(size_bands(len(s))), int(size_bands(largest)) + 1):
+        top = int(BANDS[grid]) * 4 - 1
         most = int(most_apart(top, top, similarity))
         parts = most + 1 + most // 2
         of = ((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        cells, rank = np.zeros(parts, np.uint64), np.full(parts, np.iinfo(np.int64).max)
-        cells[of[starts]], rank[of[starts]] = np.add.reduceat(hashes, starts), np.minimum.reduceat(weight, starts)
-        cells = mixed(cells + mixed(np.arange(parts, dtype=np.uint64) + np.uint64(grid + 1 << 40)))
+        used = of[starts]
+        most = int(most_apart(len(s), min(largest, top), similarity))
+        cells, rank = np.add.reduceat(hashes, starts), np.minimum.reduceat(weight, starts)
+        if len(used) <= most:
+            empty = np.setdiff1d(np.arange(parts), used)
+            used, cells, rank = np.r_[used, empty], np.r_[cells, np.zeros(len(empty), np.uint64)], np.r_[rank, np.full(len(empty), np.iinfo(np.int64).max)]
+        cells = mixed(cells + mixed(used.astype(np.uint64) + np.uint64(grid + 1 << 40))) >> np.uint64(1) << np.uint64(1) | np.uint64(grid & 1)
         out.append(cells[np.lexsort((cells, rank))[: most + 1]])
     return np.concatenate(out)
 
@@ -147,7 +191,7 @@ def common_shingles(texts: DataFrame, words: int, seed: int) -> tuple[np.ndarray
 
 
 def shared_tokens(points: DataFrame) -> DataFrame:
-    """(token, m, members) of each cell in which several points (id, n, cells) are.
+    """(token, m, members) of each cell in which several points (id, n, cells) are, one of them at home; of those with the same points one.
 
     A cell is sent as 48 bits of its hash beside its bucket. Two that are taken for one
     only make more candidates.
@@ -161,7 +205,8 @@ def shared_tokens(points: DataFrame) -> DataFrame:
                     b = part.slice(k, 1 << 16)
                     held = [np.frombuffer(x.as_buffer(), "<u8") for x in b.column("cells")]
                     sizes = np.array([len(x) for x in held], np.int64)
-                    h = mixed(np.concatenate([np.zeros(0, np.uint64), *held]))
+                    cells = np.concatenate([np.zeros(0, np.uint64), *held])
+                    h = mixed(cells) >> np.uint64(1) << np.uint64(1) | cells & np.uint64(1)
                     texts = np.empty(len(held), TEXT)
                     texts["id"], texts["n"] = b.column("id").to_numpy(), b.column("n").to_numpy()
                     r = np.empty(len(h), TOKEN)
@@ -184,10 +229,12 @@ def shared_tokens(points: DataFrame) -> DataFrame:
                     m["id"], m["n"] = t["id"][r["text"]], t["n"][r["text"]]
                     held.append(m)
             r = np.concatenate(held)
-            r = r[np.argsort(r["token"], kind="stable")]
+            # in the order of ids, for cells of the same texts to be alike
+            r = r[np.lexsort((r["id"], r["token"]))]
             cut = np.flatnonzero(np.r_[True, r["token"][1:] != r["token"][:-1]])
             sizes = np.diff(np.r_[cut, len(r)])
-            cut, sizes = cut[sizes > 1], sizes[sizes > 1]
+            keep = (sizes > 1) & np.logical_or.reduceat(size_bands(r["n"]) & 1 == (r["token"] & np.uint64(1)).astype(np.int64), cut)
+            cut, sizes = cut[keep], sizes[keep]
             m = np.empty(len(r), MEMBER)
             for k in MEMBER.names:
                 m[k] = r[k]
@@ -198,7 +245,8 @@ def shared_tokens(points: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(token[cut[part]].view(np.int64)), pa.array(sizes[part]), pa.array(members, pa.binary())], names=["token", "m", "members"])
 
     packed = points.select("id", "n", "cells").mapInArrow(route, "bucket int, records binary, texts binary")
-    return by_bucket(packed, buckets).mapInArrow(gather, "token long, m long, members binary")
+    cells = by_bucket(packed, buckets).mapInArrow(gather, "token long, m long, members binary")
+    return cells.groupBy("members").agg(F.min("token").alias("token"), F.max("m").alias("m")).select("token", "m", "members")
 
 
 def zip_records(r: np.ndarray, at: np.ndarray, used: np.ndarray, texts: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -254,14 +302,13 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similarity: float, words:
 
 
 def block_pairs(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """Pairs across labels of the texts (token, id, n, label, emb) of each token that embeddings leave: block against block.
+    """Pairs across labels of the texts (token, m, id, n, label, emb) of each token that embeddings leave: block against block.
 
     All such pairs, or as a forest the closest ones that would join all labels that any pair joins.
     A token's texts are cut into blocks of about BLOCK by their ids, and each two of its blocks meet in one
     group, so that no task holds more, however many texts a token has.
     """
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    rows = rows.join(counts, "token").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "label", "emb")
 
@@ -291,6 +338,13 @@ def block_pairs(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
     return rows.groupBy("token", "lo", "hi").applyInArrow(each, "a long, b long").distinct()
 
 
+def cell_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) across labels of the texts (token, id, n, label) of each token, of sizes that may be similar."""
+    a, b = rows.alias("a"), rows.alias("b")
+    fit = F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9
+    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & fit).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def set_links(points: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
     """Links (a, b) between points, each of this similarity or more: enough of them to connect all that are linked.
 
@@ -310,7 +364,7 @@ def set_links(points: DataFrame, texts: DataFrame, similarity: float, words: int
         for b in batches:
             for token, x in zip(b.column("token").to_pylist(), b.column("members"), strict=True):
                 m = np.frombuffer(x.as_buffer(), MEMBER)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), token)), *[pa.array(m[k].astype(np.int64)) for k in MEMBER.names]], names=["token", *MEMBER.names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), token)), pa.array(np.full(len(m), len(m))), *[pa.array(m[k].astype(np.int64)) for k in MEMBER.names]], names=["token", "m", *MEMBER.names])
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = materialize(bounded_pairs(pairs, points, similarity), "pairs")
@@ -321,10 +375,10 @@ def set_links(points: DataFrame, texts: DataFrame, similarity: float, words: int
     links = verified(tokens.select("members").mapInArrow(start, "a long, b long").distinct())
     if not tokens.filter(F.col("m") > SMALL).limit(1).count():
         return links
-    large = tokens.filter(F.col("m") > SMALL).select("token", "members").mapInArrow(unpack, "token long, id long, n long")
+    large = tokens.filter(F.col("m") > SMALL).select("token", "members").mapInArrow(unpack, "token long, m long, id long, n long")
     for turn in ("head", "forest", "all"):
         roots = components(links)
-        labelled = large.join(roots, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("root", "id").alias("label"))
+        labelled = large.join(roots, F.col("id") == F.col("node"), "left").select("token", "m", "id", "n", F.coalesce("root", "id").alias("label"))
         labelled = materialize(labelled, "labelled")
         open_ = materialize(labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"), "open")
         before, large = large, materialize(labelled.join(maybe_broadcast(open_), "token", "left_semi"), "large")
@@ -335,10 +389,18 @@ def set_links(points: DataFrame, texts: DataFrame, similarity: float, words: int
             heads = materialize(large.groupBy("token").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id")).alias("h")), "heads")
             pairs = large.join(maybe_broadcast(heads), "token").filter(F.col("label") != F.col("h.label")).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
         else:
-            pairs = block_pairs(large.join(points.select("id", "emb"), "id"), similarity, turn == "forest")
+            many = large.filter(F.col("m") > MEDIUM)
+            crowded = bool(many.limit(1).count())
+            turn = turn if crowded else "all"
+            pairs = block_pairs(many.join(points.select("id", "emb"), "id"), similarity, turn == "forest") if crowded else None
+            if turn == "all":
+                few = cell_pairs(large.filter(F.col("m") <= MEDIUM), similarity)
+                pairs = pairs.union(few).distinct() if crowded else few
         more = verified(pairs)
         links, old = materialize(links.union(more), "links"), (links, more)
         release(*old)
+        if turn == "all":
+            break
     return links
 
 

@@ -151,3 +151,45 @@ def test_awkward_rows(spark):
     assert kept.columns == df.columns
     assert sorted((r.text or "").strip().lower() for r in kept.collect()) == ["", "a b c", "a b c d e f"]
     assert one_of_each_group(df.limit(0)).count() == 0
+
+
+def test_shingle_hashes_tell_shingles_apart():
+    """As many hashes as there are different shingles, the same wherever a shingle stands, for long words and windows as well."""
+    rng = random.Random(8)
+    seen = {}
+    for n in [0, 1, 4, 5, 6] * 40 + [60_000]:
+        text = b"".join(rng.choice([b" ", b"\t", b" \r\n ", b"\x0b\x0c"]) + bytes(rng.choices(b"aBc\xc3\xa9\x00", k=700 if rng.random() < 0.002 else rng.randint(1, 4))) for _ in range(n))
+        w = text.lower().split()
+        plain = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        found = similar.shingle_set(text, 5, 42)
+        assert len(plain) == len(found) and np.all(found[1:] > found[:-1])
+        alone = {int(similar.shingle_set(s, 5, 42)[0]): s for s in list(plain)[:5000]}
+        assert alone.keys() <= set(found.tolist()) and all(seen.setdefault(h, s) == s for h, s in alone.items())
+
+
+def test_cells_are_few():
+    """Up to a quarter as many as a set has shingles, and as many again only for a set that larger ones of the next band may be similar to."""
+    rng = np.random.default_rng(9)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for n, most in ((300, 0.25), (700, 0.25), (900, 0.5), (3000, 0.25), (3500, 0.5)):
+        assert len(similar.grid_cells(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)), *none, 0.8)) <= most * n + 2
+
+
+def test_cells_of_the_same_texts_are_sent_once(spark):
+    """Texts that share a passage share many cells; callers alone share none."""
+    rng = np.random.default_rng(10)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def tokens(n, shared):
+        passage = rng.integers(0, 2**64, shared, dtype=np.uint64)
+        sets = [np.unique(np.r_[passage, rng.integers(0, 2**64, n - shared, dtype=np.uint64)]) for _ in range(6)]
+        rows = [(k, len(s), bytearray(similar.grid_cells(s, *none, 0.8).tobytes())) for k, s in enumerate(sets)]
+        found = similar.shared_tokens(spark.createDataFrame(rows, "id long, n long, cells binary")).collect()
+        assert all(r.m == len(r.members) // similar.MEMBER.itemsize > 1 for r in found)
+        return [bytes(r.members) for r in found]
+
+    for n in (400, 950):
+        found = tokens(n, n - 10)
+        assert found and len(found) == len(set(found))
+    # cells of the next band, where all six call
+    assert len(tokens(950, 950)) == 1
